@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe
+from . import bpe, packing
 
 QUERIES = {
+    "op2_pack": packing.op2_pack,
     "op7_bpe": bpe.op7_bpe,
 }
 
