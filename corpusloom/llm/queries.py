@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, packing
+from . import bpe, packing, vptree
 
 QUERIES = {
     "op2_pack": packing.op2_pack,
     "op7_bpe": bpe.op7_bpe,
+    "op10_neighbours": vptree.op10_neighbours,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op10_neighbours": vptree.ORACLE,
+}
