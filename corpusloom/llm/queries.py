@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, packing, quality, vptree
+from . import bpe, packing, quality, urls, vptree
 
 QUERIES = {
     "op2_pack": packing.op2_pack,
     "op7_bpe": bpe.op7_bpe,
+    "op8_urls": urls.op8_urls,
     "op9_quality": quality.op9_quality,
     "op10_neighbours": vptree.op10_neighbours,
 }
