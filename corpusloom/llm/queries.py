@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, packing, quality, urls, vptree
+from . import bpe, html, packing, quality, urls, vptree
 
 QUERIES = {
     "op2_pack": packing.op2_pack,
+    "op5_html": html.op5_html,
     "op7_bpe": bpe.op7_bpe,
     "op8_urls": urls.op8_urls,
     "op9_quality": quality.op9_quality,
