@@ -93,11 +93,11 @@ def text_blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[in
         first = last
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and row of each word of a block; words end with their text."""
+def word_spans(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and row of each run of bytes that aren't in `between`; runs end with their text."""
     if not len(data):
         return (np.zeros(0, np.int64),) * 3
-    inside = ~SPACE[data]
+    inside = ~between[data]
     before = np.empty_like(inside)
     before[0] = False
     before[1:] = inside[:-1]

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, html, packing, quality, urls, vptree
+from . import bpe, html, language, packing, quality, urls, vptree
 
 QUERIES = {
     "op2_pack": packing.op2_pack,
     "op5_html": html.op5_html,
+    "op6_language": language.op6_language,
     "op7_bpe": bpe.op7_bpe,
     "op8_urls": urls.op8_urls,
     "op9_quality": quality.op9_quality,
