@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, html, language, packing, quality, urls, vptree
+from . import bpe, html, language, packing, quality, toxicity, urls, vptree
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
     "op2_pack": packing.op2_pack,
     "op5_html": html.op5_html,
     "op6_language": language.op6_language,
