@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import LOWER, read_table, span_hashes, text_blocks, word_spans
 
@@ -254,23 +255,42 @@ def identify(docs: DataFrame, network: Network | None) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(network)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net = shared.value
         for batch in batches:
-            n = batch.num_rows
-            if net is None:
-                said, score = [UNDETERMINED] * n, np.zeros(n)
-            else:
-                sums, count = pool(net, batch.column(1))
-                p = _softmax(sums / np.maximum(count, 1)[:, None])
-                best = p.argmax(axis=1)
-                lettered = [bool(t) and _LETTER.search(t) is not None for t in batch.column(1).to_pylist()]
-                said = [net.languages[b] if ok else UNDETERMINED for b, ok in zip(best, lettered)]
-                score = np.where(lettered, p[np.arange(n), best], 0.0)
+            said, score = judge(shared.value, batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(said, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
 
     return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(work, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
 
 
+def judge(network: Network | None, column: pa.Array) -> tuple[list[str], np.ndarray]:
+    """Language and probability of each text."""
+    n = len(column)
+    if network is None:
+        return [UNDETERMINED] * n, np.zeros(n)
+    sums, count = pool(network, column)
+    p = _softmax(sums / np.maximum(count, 1)[:, None])
+    best = p.argmax(axis=1)
+    lettered = [bool(t) and _LETTER.search(t) is not None for t in column.to_pylist()]
+    return [network.languages[b] if ok else UNDETERMINED for b, ok in zip(best, lettered)], np.where(lettered, p[np.arange(n), best], 0.0)
+
+
+def flagged(docs: DataFrame, network: Network | None, least: float) -> DataFrame:
+    """The rows as they are, with __keep: whether a language is determined with a probability of `least` or more. If nothing was learned from, every text with a letter is kept."""
+    shared = docs.sparkSession.sparkContext.broadcast(network)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(batch.schema.get_field_index("text"))
+            if shared.value is None:
+                keep = [bool(t) and _LETTER.search(t) is not None for t in column.to_pylist()]
+            else:
+                said, score = judge(shared.value, column)
+                keep = [x != UNDETERMINED and s >= least for x, s in zip(said, score)]
+            yield batch.append_column("__keep", pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(work, T.StructType([*docs.schema.fields, T.StructField("__keep", T.BooleanType())]))
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return identify(docs, fit(docs)).select("doc_id", _held_out().alias("held_out"), "lang_pred", "score")

@@ -16,8 +16,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import read_table, span_hashes, text_blocks, word_spans
 
@@ -251,14 +253,31 @@ def score_documents(docs: DataFrame, chain: Chain) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = shared.value
         for batch in batches:
-            p = c.predict(batch.column(1))
-            size = np.array([len(t) if t else 0 for t in batch.column(1).to_pylist()])
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(p[:, k]) for k in range(p.shape[1])), pa.array((p[:, -1] >= c.cuts[-1]) & (size > 0))], ["doc_id", *names, "toxic"])
+            p, toxic = judge(c, batch.column(1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(p[:, k]) for k in range(p.shape[1])), pa.array(toxic)], ["doc_id", *names, "toxic"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(work, f"doc_id {kind}, {', '.join(f'{n} double' for n in names)}, toxic boolean")
 
 
+def judge(chain: Chain, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Probabilities of each text's categories, and whether the last one reaches its cut."""
+    p = chain.predict(column)
+    size = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    return p, (p[:, -1] >= chain.cuts[-1]) & (size > 0)
+
+
+def flagged(docs: DataFrame, chain: Chain) -> DataFrame:
+    """The rows as they are, with __toxic."""
+    shared = docs.sparkSession.sparkContext.broadcast(chain)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.append_column("__toxic", pa.array(judge(shared.value, batch.column(batch.schema.get_field_index("text")))[1], pa.bool_()))
+
+    return docs.mapInArrow(work, T.StructType([*docs.schema.fields, T.StructField("__toxic", T.BooleanType())]))
+
+
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return score_documents(docs, fit(docs, read_table(spark, sf_dir, "labels")))
