@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, html, language, packing, quality, simhash, toxicity, urls, vptree
+from . import bpe, html, language, mixing, packing, quality, simhash, toxicity, urls, vptree
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_pack": packing.op2_pack,
+    "op3_mixing": mixing.op3_mixing,
     "op4_simhash": simhash.op4_simhash,
     "op5_html": html.op5_html,
     "op6_language": language.op6_language,
