@@ -17,6 +17,7 @@ from dataclasses import asdict, dataclass
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as tx
 
@@ -175,7 +176,7 @@ def hygiene_errors(question: Column, answer: Column) -> Column:
     )
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def matched_share(span: pd.Series, text: pd.Series) -> pd.Series:
     """Characters of a span in matching blocks of a text, over its length."""
     return pd.Series([sum(b.size for b in difflib.SequenceMatcher(None, s, t, autojunk=False).get_matching_blocks()) / len(s) if s else 0.0 for s, t in zip(span, text)], dtype=float)
