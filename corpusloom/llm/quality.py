@@ -168,8 +168,11 @@ def fit_rules(docs: DataFrame, labels: DataFrame, sample: int = 12_000, names: l
     names = names or RULE_FEATURES
     chosen = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = docs.where("doc_id IS NOT NULL").select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most `sample` small rows
-    stats = features(text_statistics(texts)).join(F.broadcast(chosen), "doc_id").where(~_base_failed()).dropDuplicates(["doc_id"])
-    rows = stats.select("doc_id", "quality", *names).collect()
+    stats = features(text_statistics(texts)).join(F.broadcast(chosen), "doc_id")
+    # Base tests are made on what was collected: as a filter they would be pushed below the join, to every text.
+    fields = list(dict.fromkeys(["doc_id", "quality", "n_words", "n_repeat_words", *names]))
+    by_id = {r.doc_id: r for r in stats.select(fields).collect()}
+    rows = [r for r in by_id.values() if r.n_words >= 50 and 100 * r.n_repeat_words <= 50 * r.n_words]
     return learn_rules([{f: float(r[f]) for f in names} | {"low": int(r.quality == 0), "order": ((r.doc_id * 2654435761) & 0xFFFFFFFF, r.doc_id)} for r in rows], names)
 
 
