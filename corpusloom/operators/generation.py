@@ -176,10 +176,17 @@ def hygiene_errors(question: Column, answer: Column) -> Column:
     )
 
 
-@F.pandas_udf(T.DoubleType())
-def matched_share(span: pd.Series, text: pd.Series) -> pd.Series:
-    """Characters of a span in matching blocks of a text, over its length."""
-    return pd.Series([sum(b.size for b in difflib.SequenceMatcher(None, s, t, autojunk=False).get_matching_blocks()) / len(s) if s else 0.0 for s, t in zip(span, text)], dtype=float)
+def _matched_share():
+    """Characters of a span in matching blocks of a text, over its length. Made in here, it goes to workers by value, which needn't have this package."""
+
+    def share(span: pd.Series, text: pd.Series) -> pd.Series:
+        return pd.Series([sum(b.size for b in difflib.SequenceMatcher(None, s, t, autojunk=False).get_matching_blocks()) / len(s) if s else 0.0 for s, t in zip(span, text)], dtype=float)
+
+    share.__annotations__ = {"span": pd.Series, "text": pd.Series, "return": pd.Series}
+    return F.pandas_udf(share, T.DoubleType())
+
+
+matched_share = _matched_share()
 
 
 def grounding_ratio(span: Column, passage: Column) -> Column:
