@@ -158,7 +158,7 @@ class Chain:
 
 
 def choose(row: np.ndarray, feature: np.ndarray, y: np.ndarray, most: int, least: int = 3) -> np.ndarray:
-    """The `most` features that tell most about any category: by a chi-square with the sign kept to what marks it, in `least` texts or more and in less than a fifth of all."""
+    """The `most` features that tell most about any category: by a chi-square with the sign kept to what marks it, in `least` texts or more and in half of all at most."""
     names, which = np.unique(feature, return_inverse=True)
     n = len(y)
     df = np.bincount(which, minlength=len(names)).astype(float)
@@ -168,7 +168,7 @@ def choose(row: np.ndarray, feature: np.ndarray, y: np.ndarray, most: int, least
         share = y[:, k].mean()
         expected = df * share
         worth = np.maximum(worth, np.where(a > expected, (a - expected) ** 2 / np.maximum(expected * (1 - share), 1e-9), 0))
-    worth[(df < least) | (df > 0.2 * n)] = 0
+    worth[(df < least) | (df > 0.5 * n)] = 0
     top = np.argsort(-worth, kind="stable")[:most]
     return np.sort(names[top[worth[top] > 6.6]])
 
