@@ -222,7 +222,7 @@ def fit_chain(rows: list[tuple[str | None, list[int]]], names: list[str], most:
 CATEGORIES = {"low_quality": "quality = 0", "toxic": "toxic = 1"}
 
 
-def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, str] = CATEGORIES, each: int = 1500) -> Chain:
+def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, str] = CATEGORIES, each: int = 1000) -> Chain:
     """A chain from a bounded sample of labelled texts: of each category at most `each` texts that have it, and twice `each` of all, by hash of the id.
 
     Rows of labels whose id or any label is null take no part; of an id labelled twice, a category holds if
