@@ -11,9 +11,11 @@ long recurses on another strip; a short one is compared throughout. As many repe
 bring the chance that a pair at the threshold meets in some list to the target. The first level is a
 shuffle, the others stay in a task; the number of centres follows the number of texts.
 
-A list hands on a spanning choice of its candidate pairs: stars around the nodes of most neighbours, and
-the closest pair between each two stars. These pairs are verified exactly on their shingle sets, and
-verified pairs make the classes. Nothing but counts comes to the driver.
+A list first hands on a spanning choice of its candidate pairs: stars around the nodes of most neighbours,
+and the closest pair between each two stars. These pairs are verified exactly on their shingle sets, and
+verified pairs join texts. Then the lists are gone through again for all candidate pairs that are neither
+joined nor verified yet, so that a choice that was refuted hides no pair. Nothing but counts comes to the
+driver.
 """
 
 from __future__ import annotations
@@ -136,8 +138,8 @@ class Plan:
         return rng.choice(BITS, 128, replace=False), rng.integers(0, 2, (self.centres, 128), dtype=np.uint8)
 
 
-def close_pairs(fp: np.ndarray, limit: int, short: int, to: int, seed: list[int], depth: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(i, j, bits that differ) of pairs that differ in `limit` bits at most: all in a short list, those that the recursion meets in a longer one."""
+def close_pairs(fp: np.ndarray, limit: int, short: int, to: int, seed: list[int], depth: int = 0, group: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, bits that differ) of pairs that differ in `limit` bits at most: all in a short list, those that the recursion meets in a longer one. Pairs of one group are left out."""
     n = len(fp)
     if n <= short or depth >= 3:
         ai, aj, ad = [], [], []
@@ -147,6 +149,8 @@ def close_pairs(fp: np.ndarray, limit: int, short: int, to: int, seed: list[int]
                 d += np.bitwise_count(fp[lo : lo + 256, w, None] ^ fp[None, lo:, w])
             i, j = np.nonzero(d <= limit)
             up = i < j
+            if group is not None:
+                up &= group[i + lo] != group[j + lo]
             ai.append(i[up] + lo)
             aj.append(j[up] + lo)
             ad.append(d[i[up], j[up]].astype(np.int64))
@@ -160,7 +164,7 @@ def close_pairs(fp: np.ndarray, limit: int, short: int, to: int, seed: list[int]
     found = []
     for rows in np.split(member[order], np.cumsum(np.bincount(to_list.ravel(), minlength=len(centres)))[:-1]):
         if len(rows) > 1:
-            i, j, d = close_pairs(fp[rows], limit, short if len(rows) < 0.7 * n else n, to, [*seed, len(found)], depth + 1)
+            i, j, d = close_pairs(fp[rows], limit, short if len(rows) < 0.7 * n else n, to, [*seed, len(found)], depth + 1, None if group is None else group[rows])
             found.append((rows[i], rows[j], d))
     if not found:
         return (np.zeros(0, np.int64),) * 3
@@ -226,26 +230,28 @@ def _to_lists(plan: Plan):
                     lists = _lists(bits, strip, centres, plan.to) if plan.centres > 1 else np.zeros((len(bits), 1), np.int64)
                     rows = pa.array(np.repeat(np.arange(len(bits)), lists.shape[1]))
                     key = pa.array(lists.ravel().astype(np.int64) + r * plan.centres)
-                    yield pa.RecordBatch.from_arrays([key, *(c.take(rows) for c in part.columns)], ["list", "id", "f0", "f1", "f2", "f3"])
+                    yield pa.RecordBatch.from_arrays([key, *(c.take(rows) for c in part.columns)], ["list", *part.schema.names])
 
     return work
 
 
-def _in_list(plan: Plan):
+def _in_list(plan: Plan, rest: bool):
     def work(table: pa.Table) -> pa.Table:
         table = table.sort_by("id")  # the order of a shuffle isn't fixed
         ids = table.column("id").to_numpy()
         fp = np.ascontiguousarray(np.stack([table.column(f"f{k}").to_numpy() for k in range(4)], axis=1)).view(np.uint64)
-        i, j, d = close_pairs(fp, plan.limit, plan.short, plan.to, [plan.seed, int(table.column("list")[0].as_py())])
-        pick = spanning(len(ids), i, j, d, plan.near)
+        group = table.column("joined").to_numpy() if rest else None
+        i, j, d = close_pairs(fp, plan.limit, plan.short, plan.to, [plan.seed, int(table.column("list")[0].as_py())], group=group)
+        pick = slice(None) if rest else spanning(len(ids), i, j, d, plan.near)
         return pa.table({"a": ids[i[pick]], "b": ids[j[pick]]})
 
     return work
 
 
 def candidates(reps: DataFrame, plan: Plan, hot: int = 200_000) -> DataFrame:
-    """Distinct (a, b), a < b, to verify among id, f0 to f3. A list of more than `hot` texts is split at random, otherwise in each repetition."""
-    keys = reps.select("id", "f0", "f1", "f2", "f3").mapInArrow(_to_lists(plan), "list long, id long, f0 long, f1 long, f2 long, f3 long")
+    """Distinct (a, b), a < b, to verify among id, f0 to f3: a spanning choice, or with a column `joined` all that differ in it. A list of more than `hot` texts is split at random, otherwise in each repetition."""
+    columns = ["id", "f0", "f1", "f2", "f3"] + ["joined"] * ("joined" in reps.columns)
+    keys = reps.select(columns).mapInArrow(_to_lists(plan), "list long, " + ", ".join(f"{c} long" for c in columns))
     if plan.centres > 1:
         large = {r["list"]: -(-r["count"] // hot) for r in keys.groupBy("list").count().where(F.col("count") > hot).collect()}  # few: each stands for `hot` rows
     else:
@@ -254,7 +260,7 @@ def candidates(reps: DataFrame, plan: Plan, hot: int = 200_000) -> DataFrame:
     for key, n in large.items():
         parts = F.when(F.col("list") == key, n).otherwise(parts)
     keys = keys.withColumn("part", F.pmod(F.xxhash64("id", "list"), parts))
-    pairs = keys.groupBy("list", "part").applyInArrow(_in_list(plan), "a long, b long")
+    pairs = keys.groupBy("list", "part").applyInArrow(_in_list(plan, "joined" in columns), "a long, b long")
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -325,7 +331,12 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, recall: float = 0.
     plan = Plan(search.count(), similarity, recall)
     pairs = checkpoint(candidates(search, plan))
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string"))
-    labels = components(verify(texts, pairs, similarity)).select(F.col("node").alias("rep"), "label")
+    edges = checkpoint(verify(texts, pairs, similarity))
+    known = components(edges)
+    # What the choice left out: every candidate pair between texts that it didn't join.
+    grouped = search.join(known.withColumnRenamed("node", "id"), "id", "left").withColumn("joined", F.coalesce("label", "id"))
+    left = checkpoint(candidates(grouped, plan).join(pairs, ["a", "b"], "left_anti"))
+    labels = components(edges.unionByName(verify(texts, left, similarity))).select(F.col("node").alias("rep"), "label")
     classes = reps.select("whole", "n", "rep").join(labels, "rep", "left").select("whole", "n", F.coalesce("label", "rep").alias("class"))
     joined = signed.join(classes, ["whole", "n"], "left")
     own = F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("class"))

@@ -199,6 +199,24 @@ def test_near_duplicates_against_brute_force(docs, hard_texts):
     assert [out[k] for k in range(len(texts))] == want
 
 
+def test_near_duplicates_beside_a_template(docs):
+    # Two texts of a pair are alike, but each a little less than the threshold from the template's texts.
+    rng = np.random.default_rng(9)
+    core = [f"c{k}" for k in range(300)]
+    texts = [" ".join(core)]
+    for k in range(60):
+        own = list(core)
+        for at in rng.choice(290, 8, replace=False):
+            own[at] = f"p{k}_{at}"
+        texts.append(" ".join(own))
+        own[295] = f"q{k}"
+        texts.append(" ".join(own))
+    s = [shingles(t) for t in texts]
+    assert np.mean([0.7 <= len(s[0] & x) / len(s[0] | x) < 0.8 for x in s[1:]]) > 0.5
+    out = {r.doc_id: r.class_id for r in simhash.near_duplicates(docs(texts)).collect()}
+    assert [out[k] for k in range(len(texts))] == brute_classes(texts)
+
+
 def test_near_duplicate_edges(docs):
     out = simhash.near_duplicates(docs([(None, "a b c"), (3, "a b c"), (3, "a b c"), (4, ""), (5, None), (6, "A b C")])).collect()
     assert sorted((r.doc_id or -1, r.class_id or -1) for r in out) == [(-1, -1), (3, 3), (3, 3), (4, 4), (5, 5), (6, 3)]
