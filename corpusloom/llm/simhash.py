@@ -9,7 +9,9 @@ these are found by repetitions of a recursion: on a random strip of coordinates
 the lists of those random centres from which it differs in the smallest weights; a list that is still
 long recurses on another strip; a short one is compared throughout. As many repetitions are made as
 bring the chance that a pair at the threshold meets in some list to the target. The first level is a
-shuffle, the others stay in a task; the number of centres follows the number of texts.
+shuffle, the others stay in a task; the number of centres follows the number of texts. A list longer than
+was assumed is split by further strips, as often as keeps the chance; one too long for a task is compared
+block against block.
 
 A list first hands on a spanning choice of its candidate pairs: stars around the nodes of most neighbours,
 and the closest pair between each two stars. These pairs are verified exactly on their shingle sets, and
@@ -20,7 +22,8 @@ driver.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -102,12 +105,32 @@ def _lists(bits: np.ndarray, strip: np.ndarray, centres: np.ndarray, to: int) ->
     return np.argpartition(-near, min(to, len(centres)) - 1, axis=1)[:, :to]
 
 
+def _inner(n: int, short: int, to: int) -> int:
+    """How many centres split a list of n texts into short ones."""
+    return max(8, -(-to * n // (short * 2 // 3)))
+
+
+@lru_cache(maxsize=None)
+def _chances(share: float, to: int, centres: int, tries: int) -> tuple[float, ...]:
+    """The chance that a pair which differs in this share of bits meets in a list of one strip, of two, ... of `tries`."""
+    rng = np.random.default_rng([17, centres])
+    x = rng.integers(0, 2, (1000, BITS), dtype=np.uint8)
+    y = x ^ (rng.random(x.shape) < share).astype(np.uint8)
+    met, out = np.zeros(len(x), bool), []
+    for _ in range(tries):
+        strip, drawn = rng.choice(BITS, 64, replace=False), rng.integers(0, 2, (centres, 64), dtype=np.uint8)
+        a, b = _lists(x, strip, drawn, to), _lists(y, strip, drawn, to)
+        met |= (a[:, :, None] == b[:, None, :]).any(axis=(1, 2))
+        out.append(float(met.mean()))
+    return tuple(out)
+
+
 class Plan:
     """The random strips and centres of every repetition, and how often to repeat."""
 
     def __init__(self, texts: int, similarity: float, recall: float, list_size: int = 20_000, short: int = 1200, to: int = 3, most: int = 24, seed: int = 17):
-        self.to, self.short, self.seed = to, short, seed
-        share = distance_share(similarity)
+        self.to, self.short, self.seed, self.list_size = to, short, seed, list_size
+        self.share = share = distance_share(similarity)
         sigma = (share * (1 - share) * BITS) ** 0.5
         self.limit = int(share * BITS + 2.75 * sigma)  # 99.7 % of pairs at the threshold
         self.near = int(share * BITS + 1)
@@ -119,7 +142,7 @@ class Plan:
         x = rng.integers(0, 2, (600, BITS), dtype=np.uint8)
         y = x ^ (rng.random(x.shape) < share).astype(np.uint8)
         tries, met = 6, 0.0
-        inner = max(8, -(-to * min(texts, list_size) // (short * 2 // 3)))
+        inner = _inner(min(texts, list_size), short, to)
         for r in range(tries):
             both = np.ones(len(x), bool)
             if self.centres > 1:
@@ -129,6 +152,15 @@ class Plan:
             met += both.mean() / tries
         self.repeat = min(most, max(1, int(np.ceil(np.log(1 - recall) / np.log(max(1e-9, 1 - met))))))
 
+    def tries(self, n: int, depth: int) -> int:
+        """Strips by which a list of n texts is split: one at the length that `repeat` assumes, as many as give that chance in a longer one; deeper down, where `repeat` assumes that all pairs meet, for 0.999."""
+        if depth == 0 and n <= self.list_size:
+            return 1
+        target = 0.999 if depth else _chances(self.share, self.to, _inner(self.list_size, self.short, self.to), 1)[0]
+        centres = 1 << (_inner(n, self.short, self.to) - 1).bit_length()  # rounded up, so that few are simulated
+        chances = _chances(self.share, self.to, centres, 16)
+        return next((k for k, c in enumerate(chances, 1) if c >= target), len(chances))
+
     def _meet(self, x, y, strip, centres) -> np.ndarray:
         a, b = _lists(x, strip, centres, self.to), _lists(y, strip, centres, self.to)
         return (a[:, :, None] == b[:, None, :]).any(axis=(1, 2))
@@ -138,10 +170,12 @@ class Plan:
         return rng.choice(BITS, 128, replace=False), rng.integers(0, 2, (self.centres, 128), dtype=np.uint8)
 
 
-def close_pairs(fp: np.ndarray, limit: int, short: int, to: int, seed: list[int], depth: int = 0, group: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(i, j, bits that differ) of pairs that differ in `limit` bits at most: all in a short list, those that the recursion meets in a longer one. Pairs of one group are left out."""
+def close_pairs(fp: np.ndarray, limit: int, short: int, to: int, seed: list[int], depth: int = 0, group: np.ndarray | None = None, tries: Callable[[int, int], int] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, bits that differ) of pairs that differ in `limit` bits at most: all in a short list, those that the recursion meets in a longer one. Pairs of one group are left out. `tries`: strips by length and depth of a list, one by default."""
     n = len(fp)
-    if n <= short or depth >= 3:
+    times = tries(n, depth) if tries and n > short and depth < 3 else 1
+    # Below the first level a list is compared throughout if that takes no more than all of its strips.
+    if n <= short or depth >= 3 or (tries and depth and n <= times * to * (short * 2 // 3)):
         ai, aj, ad = [], [], []
         for lo in range(0, n, 256):
             d = np.zeros((min(256, n - lo), n - lo), np.uint16)
@@ -155,17 +189,19 @@ def close_pairs(fp: np.ndarray, limit: int, short: int, to: int, seed: list[int]
             aj.append(j[up] + lo)
             ad.append(d[i[up], j[up]].astype(np.int64))
         return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (ai, aj, ad))
-    rng = np.random.default_rng([*seed, depth])
-    strip = rng.choice(BITS, 64, replace=False)
-    centres = rng.integers(0, 2, (max(8, -(-to * n // (short * 2 // 3))), 64), dtype=np.uint8)
-    to_list = np.concatenate([_lists(_bits(fp[lo : lo + 4096]), strip, centres, to) for lo in range(0, n, 4096)])
-    member = np.repeat(np.arange(n), to_list.shape[1])
-    order = np.argsort(to_list.ravel(), kind="stable")
-    found = []
-    for rows in np.split(member[order], np.cumsum(np.bincount(to_list.ravel(), minlength=len(centres)))[:-1]):
-        if len(rows) > 1:
-            i, j, d = close_pairs(fp[rows], limit, short if len(rows) < 0.7 * n else n, to, [*seed, len(found)], depth + 1, None if group is None else group[rows])
-            found.append((rows[i], rows[j], d))
+    found, part = [], 0
+    for at in range(times):
+        rng = np.random.default_rng([*seed, depth] + [at] * (at > 0))
+        strip = rng.choice(BITS, 64, replace=False)
+        centres = rng.integers(0, 2, (_inner(n, short, to), 64), dtype=np.uint8)
+        to_list = np.concatenate([_lists(_bits(fp[lo : lo + 4096]), strip, centres, to) for lo in range(0, n, 4096)])
+        member = np.repeat(np.arange(n), to_list.shape[1])
+        order = np.argsort(to_list.ravel(), kind="stable")
+        for rows in np.split(member[order], np.cumsum(np.bincount(to_list.ravel(), minlength=len(centres)))[:-1]):
+            if len(rows) > 1:
+                i, j, d = close_pairs(fp[rows], limit, short if len(rows) < 0.7 * n else n, to, [*seed, part], depth + 1, None if group is None else group[rows], tries)
+                found.append((rows[i], rows[j], d))
+                part += 1
     if not found:
         return (np.zeros(0, np.int64),) * 3
     i, j, d = (np.concatenate(x) for x in zip(*found))
@@ -241,7 +277,7 @@ def _in_list(plan: Plan, rest: bool):
         ids = table.column("id").to_numpy()
         fp = np.ascontiguousarray(np.stack([table.column(f"f{k}").to_numpy() for k in range(4)], axis=1)).view(np.uint64)
         group = table.column("joined").to_numpy() if rest else None
-        i, j, d = close_pairs(fp, plan.limit, plan.short, plan.to, [plan.seed, int(table.column("list")[0].as_py())], group=group)
+        i, j, d = close_pairs(fp, plan.limit, plan.short, plan.to, [plan.seed, int(table.column("list")[0].as_py())], group=group, tries=plan.tries)
         pick = slice(None) if rest else spanning(len(ids), i, j, d, plan.near)
         return pa.table({"a": ids[i[pick]], "b": ids[j[pick]]})
 
@@ -249,17 +285,20 @@ def _in_list(plan: Plan, rest: bool):
 
 
 def candidates(reps: DataFrame, plan: Plan, hot: int = 200_000) -> DataFrame:
-    """Distinct (a, b), a < b, to verify among id, f0 to f3: a spanning choice, or with a column `joined` all that differ in it. A list of more than `hot` texts is split at random, otherwise in each repetition."""
+    """Distinct (a, b), a < b, to verify among id, f0 to f3: a spanning choice, or with a column `joined` all that differ in it. A list of more than `hot` texts is split at random into blocks, and each two of them are compared in a task."""
     columns = ["id", "f0", "f1", "f2", "f3"] + ["joined"] * ("joined" in reps.columns)
     keys = reps.select(columns).mapInArrow(_to_lists(plan), "list long, " + ", ".join(f"{c} long" for c in columns))
     if plan.centres > 1:
-        large = {r["list"]: -(-r["count"] // hot) for r in keys.groupBy("list").count().where(F.col("count") > hot).collect()}  # few: each stands for `hot` rows
+        large = {r["list"]: 2 * -(-r["count"] // hot) for r in keys.groupBy("list").count().where(F.col("count") > hot).collect()}  # few: each stands for `hot` rows
     else:
         large = {}
-    parts = F.lit(1)
+    part = F.array(F.lit(0).cast("long"))
     for key, n in large.items():
-        parts = F.when(F.col("list") == key, n).otherwise(parts)
-    keys = keys.withColumn("part", F.pmod(F.xxhash64("id", "list"), parts))
+        block = F.pmod(F.xxhash64("id", "list"), F.lit(n))
+        # A text goes to a task with each other block; its own is beside it in all of them.
+        others = F.array(*[F.when(block != q, F.least(block, F.lit(q)) * n + F.greatest(block, F.lit(q))) for q in range(n)])
+        part = F.when(F.col("list") == key, F.filter(others, lambda x: x.isNotNull())).otherwise(part)
+    keys = keys.withColumn("part", F.explode(part)) if large else keys.withColumn("part", F.lit(0))
     pairs = keys.groupBy("list", "part").applyInArrow(_in_list(plan, "joined" in columns), "a long, b long")
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 

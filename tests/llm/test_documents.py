@@ -241,6 +241,38 @@ def test_recursion_reaches_its_recall():
     assert np.mean([(2 * k, 2 * k + 1) in met for k in np.flatnonzero(close)]) > 0.97
 
 
+def planted_fingerprints(rng, n):
+    x = rng.integers(0, 2, (n, 256), dtype=np.uint8)
+    x[1::2] = x[::2] ^ (rng.random((n // 2, 256)) < simhash.distance_share(0.8))
+    return np.packbits(x, axis=1, bitorder="little").view(np.uint64)
+
+
+def test_long_lists_keep_the_chance_of_the_assumed_length():
+    fp = planted_fingerprints(np.random.default_rng(8), 24_000)
+    plan = simhash.Plan(len(fp), 0.8, 0.99, list_size=2000, short=600)
+    close = np.flatnonzero(np.bitwise_count(fp[::2] ^ fp[1::2]).sum(axis=1) <= plan.limit)
+
+    def chance(rows):
+        ids = pa.array(np.arange(rows))
+        words = {f"f{k}": pa.array(np.ascontiguousarray(fp[:rows, k]).view(np.int64)) for k in range(4)}
+        out = simhash._in_list(plan, True)(pa.table({"list": pa.array(np.full(rows, 5)), "id": ids, **words, "joined": ids}))
+        met = {tuple(sorted(p)) for p in zip(out.column("a").to_pylist(), out.column("b").to_pylist())}
+        asked = close[close < rows // 2].tolist()
+        return np.mean([(2 * k, 2 * k + 1) in met for k in asked])
+
+    assert chance(24_000) > chance(2000) - 0.04
+
+
+def test_blocks_of_a_hot_list_are_compared(spark):
+    fp = planted_fingerprints(np.random.default_rng(6), 6000)
+    plan = simhash.Plan(len(fp), 0.8, 0.99, list_size=3000, short=600)
+    rows = [(k, *map(int, f)) for k, f in enumerate(fp.view(np.int64))]
+    reps = spark.createDataFrame(rows, "id long, f0 long, f1 long, f2 long, f3 long")
+    met = {(r.a, r.b) for r in simhash.candidates(reps, plan, hot=500).collect()}
+    close = np.bitwise_count(fp[::2] ^ fp[1::2]).sum(axis=1) <= plan.limit
+    assert np.mean([(2 * k, 2 * k + 1) in met for k in np.flatnonzero(close)]) > 0.97
+
+
 # ---- quality rules
 
 
