@@ -5,8 +5,8 @@ last `order` characters a probability that is smoothed down to shorter contexts.
 decide teach them. A URL's log-likelihood difference, divided by its length, is compared with a cut that
 is calibrated on held-back rule-decided URLs. All of it is built-in expressions.
 
-Counts stand in arrays of fixed size indexed by a hash of the characters, one array a class and order, so
-what reaches the expressions has a known bound however many URLs there are.
+Counts are exact and kept by window: a character with the `order` characters before it. Shorter contexts are
+sums over windows. Each distinct window is scored once, by joins, and a URL adds up what its windows got.
 """
 
 from __future__ import annotations
@@ -14,12 +14,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import checkpoint, read_table
 
 #: (verdict, host, path): the host and its subdomains; paths that start so.
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
-#: Characters that the models know apart, and how many of them a context holds at most.
-SLOTS, ORDER = 1 << 14, 4
+#: How many characters a context holds at most.
+ORDER = 4
 
 
 def url_parts(url: Column) -> tuple[Column, Column]:
@@ -48,56 +48,47 @@ def with_rules(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> D
     return base.withColumns({"rule": rule, "rule_verdict": verdict})
 
 
-def _grams(order: int) -> str:
-    """SQL array of what each character adds: for each order, the slots of its context and of both together."""
-    parts = []
-    for n in range(order + 1):
-        context = f"substr(u, i - {n}, {n})"
-        parts += [f"struct({2 * n} AS kind, pmod(xxhash64({n}, {context}), {SLOTS}) AS slot)", f"struct({2 * n + 1} AS kind, pmod(xxhash64({n}, {context}, '|', substr(u, i, 1)), {SLOTS}) AS slot)"]
-    return f"flatten(transform(sequence({order + 1}, length(u)), i -> array({', '.join(parts)})))"
-
-
 def _padded(order: int) -> Column:
     """The lower-cased url between marks, so that beginnings and the end count."""
     return F.concat(F.lit("^" * order), F.lower(F.coalesce("url", F.lit(""))), F.lit("$"))
 
 
+def _windows(order: int) -> Column:
+    """Each character of the padded url u with those before it."""
+    return F.explode(F.expr(f"transform(sequence({order + 1}, length(u)), i -> substr(u, i - {order}, {order + 1}))")).alias("w")
+
+
 def train(decided: DataFrame, order: int = ORDER) -> DataFrame:
-    """One row: n, an array of 2 * (order + 1) * 2 arrays of SLOTS counts, for contexts and for contexts with a character, of accepted and rejected URLs (rule_verdict)."""
+    """w, n1, n0: how often each window stands in accepted and in rejected URLs (rule_verdict)."""
     u = decided.select((F.col("rule_verdict") == "allow").cast("int").alias("good"), _padded(order).alias("u"))
-    counts = u.select("good", F.explode(F.expr(_grams(order))).alias("g")).groupBy(((F.col("g.kind") * 2 + F.col("good")).cast("int")).alias("kind"), F.col("g.slot").cast("int").alias("slot")).agg(F.count("*").cast("double").alias("n"))
-    every = decided.sparkSession.range(0, 4 * (order + 1) * SLOTS, 1, 1).select(F.floor(F.col("id") / SLOTS).cast("int").alias("kind"), F.pmod("id", F.lit(SLOTS)).cast("int").alias("slot"))
-    full = every.join(counts, ["kind", "slot"], "left").select("kind", "slot", F.coalesce("n", F.lit(0.0)).alias("n"))
-    arrays = full.groupBy("kind").agg(F.expr("transform(array_sort(collect_list(struct(slot, n))), x -> x.n)").alias("n"))  # SLOTS values each
-    return arrays.agg(F.expr("transform(array_sort(collect_list(struct(kind, n))), x -> x.n)").alias("n"))
+    return checkpoint(u.select("good", _windows(order)).groupBy("w").agg(F.sum("good").cast("double").alias("n1"), F.sum(1 - F.col("good")).cast("double").alias("n0")))
 
 
-def _difference(order: int, weight: float) -> str:
-    """SQL for the mean over the characters of log P(accepted) - log P(rejected); m holds the counts, u the padded url."""
+def _differences(windows: DataFrame, model: DataFrame, order: int, weight: float) -> DataFrame:
+    """w, d: log P(accepted) - log P(rejected) of the last character of each window after those before it."""
+    for n in range(order + 1):
+        for kind, length in (("c", n), ("b", n + 1)):
+            part = F.substring("w", order + 1 - n, length) if length else F.lit("")
+            counts = model.groupBy(part.alias("part")).agg(F.sum("n1").alias(f"{kind}{n}_1"), F.sum("n0").alias(f"{kind}{n}_0"))
+            windows = windows.withColumn("part", part).join(counts, "part", "left").drop("part")
 
-    def chance(good: int) -> str:
-        p = "(1D / 256)"
+    def chance(good: int) -> Column:
+        p = F.lit(1 / 256)
         for n in range(order + 1):
-            context = f"m[{4 * n + good}][pmod(xxhash64({n}, substr(u, i - {n}, {n})), {SLOTS})]"
-            both = f"m[{4 * n + 2 + good}][pmod(xxhash64({n}, substr(u, i - {n}, {n}), '|', substr(u, i, 1)), {SLOTS})]"
-            p = f"(({both} + {weight}D * {p}) / ({context} + {weight}D))"
+            both, context = (F.coalesce(f"{kind}{n}_{good}", F.lit(0.0)) for kind in "bc")
+            p = (both + weight * p) / (context + weight)
         return p
 
-    return f"aggregate(sequence({order + 1}, length(u)), 0D, (s, i) -> s + ln({chance(1)}) - ln({chance(0)})) / (length(u) - {order})"
+    return windows.select("w", (F.log(chance(1)) - F.log(chance(0))).alias("d"))
 
 
 def score(pages: DataFrame, model: DataFrame, order: int = ORDER, weight: float = 4.0) -> DataFrame:
     """pages with `ratio`: the length-normalised log-likelihood difference, positive for what looks accepted."""
-    spark = pages.sparkSession
-    view, rows = "__url_model", "__url_rows"
-    model.createOrReplaceTempView(view)
-    pages.withColumn("__u", _padded(order)).createOrReplaceTempView(rows)
-    bound = f"transform(array(__u), u -> {_difference(order, weight)})[0]"
-    # The subquery runs once and its row is a constant of the expression.
-    scored = spark.sql(f"SELECT *, transform(array(__m), m -> {bound})[0] AS ratio FROM (SELECT *, (SELECT first(n) FROM {view}) AS __m FROM {rows})").drop("__u", "__m")
-    spark.catalog.dropTempView(view)
-    spark.catalog.dropTempView(rows)
-    return scored
+    keyed = pages.withColumn("__u", _padded(order))
+    urls = keyed.select(F.col("__u").alias("u")).distinct()
+    differences = checkpoint(_differences(urls.select(_windows(order)).distinct(), model, order, weight))
+    ratios = urls.select("u", _windows(order)).join(differences, "w").groupBy("u").agg((F.sum("d") / (F.length("u") - order)).alias("ratio"))
+    return keyed.join(ratios, F.col("__u") == F.col("u")).drop("__u", "u")
 
 
 def calibrate(scored: DataFrame) -> float:

@@ -94,6 +94,18 @@ def test_ratio_against_brute_force(spark):
         assert r.ratio == pytest.approx(brute_ratio(taught, r.url), abs=0.05)
 
 
+def test_ratio_is_exact_with_many_windows(spark):
+    rng = np.random.default_rng(3)
+    letters = list("abcdefghijklmnopqrstuvwxyz0123456789-_")
+    taught = [(k % 2 == 0, "http://" + "".join(rng.choice(letters, 30)) + "/x") for k in range(1500)]
+    decided = spark.createDataFrame([(u, "allow" if g else "block") for g, u in taught], "url string, rule_verdict string")
+    asked = [taught[0][1], taught[1][1], "http://never-seen.org/", taught[2][1]]
+    rows = urls.score(spark.createDataFrame([(u,) for u in asked], "url string"), urls.train(decided)).collect()
+    assert sorted(r.url for r in rows) == sorted(asked)
+    for r in rows:
+        assert r.ratio == pytest.approx(brute_ratio(taught, r.url), abs=1e-9)
+
+
 def test_url_query(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     out = urls.op8_urls(spark, sf)
