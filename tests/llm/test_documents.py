@@ -61,6 +61,14 @@ def test_toxicity_edges(judged, docs, hard_texts, spark):
     assert not toxicity.score_documents(docs(["a text"]), nothing).first()["toxic"]
 
 
+def test_sample_holds_1500_texts_of_a_category(docs, spark, monkeypatch):
+    taken = []
+    monkeypatch.setattr(toxicity, "fit_chain", lambda rows, names: taken.extend(rows))
+    labels = spark.range(8000).selectExpr("id AS doc_id", "1 AS quality", "CAST(id % 4 = 0 AS int) AS toxic")
+    toxicity.fit(docs([f"text {k}" for k in range(8000)]), labels)
+    assert sum(v[1] for _, v in taken) >= 1500
+
+
 # ---- language
 
 
