@@ -135,33 +135,161 @@ def test_mixing_counts_and_scores(docs, hard_texts):
         assert abs(r.base_score - sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w)) < 1e-6 * max(1, len(w))
         assert r.score < 0
     long = [rows[k] for k in range(len(hard_texts), len(texts))]
-    assert sum(r.score for r in long) > 1.05 * sum(r.base_score for r in long)
+    for held in (True, False):
+        some = [r for r in long if r.train != held]
+        assert sum(r.score for r in some) > sum(r.base_score for r in some)
     assert mixing.score_documents(docs([]), F.lit(True)).count() == 0
     alone = mixing.score_documents(docs(["some text"]), F.lit(False)).first()
     assert alone.train_tokens == 0 and alone.n_known == 0 and alone.score < 0
 
 
-def test_probabilities_of_bits_add_up():
-    code = mixing.Code(np.arange(256) + 1.0)
-    assert abs(sum(2.0 ** -int(n) for n in code.length) - 1) < 1e-12
-    model = mixing.Model(code, np.random.default_rng(0).random((mixing.ORDERS, 2, mixing.SLOTS)).astype(np.float32))
-    first = [10 ** model.log10(np.array([b], np.uint8), np.array([0, 1]))[0] for b in range(256)]
-    assert abs(sum(first) - 1) < 1e-5
-
+def test_mixing_beats_its_base_and_sets_copies_apart(spark):
+    from pyspark.sql import functions as F
 
-def test_packed_words_come_back():
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = mixing.op3_mixing(spark, "/root/testdata/sf0.01").join(table.groupBy("text").agg(F.count("*").alias("copies"), F.first("doc_id").alias("doc_id")), "doc_id").collect()
+    for held in (True, False):
+        some = [r for r in rows if r.held_out == held]
+        assert sum(r.score for r in some) > sum(r.base_score for r in some)
+    single = np.sort([r.bits_per_byte for r in rows if r.copies == 1])
+    assert np.mean([r.bits_per_byte < single[len(single) // 10] for r in rows if r.copies > 1]) > 0.7
+
+
+def some_words(rng, n=4000):
+    """A vocabulary, and places in a text of it: classes of several sizes."""
+    c = np.array([400, 250, 100, 100, 9, 9, 9, 2, 2, 2, 2, 1, 1, 1, 1, 1])
+    kind = mixing.word_class(c)
+    v = mixing.Words([(int(k), int((kind == k).sum()), int(c[kind == k].sum())) for k in np.unique(kind)], 40, 1)
+    seq = rng.permutation(np.repeat(np.arange(v.unknown), [c[0], c[1], c[2], c[3], 40, *c[4:]]))[:n]
+    seq[1::2] = np.where(rng.random(len(seq[1::2])) < 0.5, (seq[::2] + 1)[: len(seq[1::2])] % 5, seq[1::2])
+    return v, seq
+
+
+def history(seq, start):
+    return [np.r_[np.full(k, start), seq[:-k]] for k in (1, 2, 3)], [np.r_[start, seq[:-1]], np.r_[start, start, seq[:-2]]]
+
+
+def test_next_words_add_up_to_one():
+    v, seq = some_words(np.random.default_rng(3))
+    back, far = history(seq, v.start)
+    asked = np.r_[np.arange(v.unknown), v.unknown]
+    for at in (5, 40, 200):
+        more = lambda x: np.r_[x, np.full(len(asked), x[at])]  # noqa: B023, E731
+        full = np.r_[seq, asked]
+        train = np.arange(len(full)) < len(seq)
+        p = mixing.word_scores(v, np.zeros(len(full), int), train, full, [more(x) for x in back], [more(x) for x in far])
+        assert abs((10 ** p[len(seq) :]).sum() - 1) < 1e-4
+
+
+def test_next_letters_add_up_to_one():
+    rng = np.random.default_rng(5)
+    data = rng.choice(np.frombuffer(b"aabcd ", np.uint8), 3000).astype(np.int64)
+    contexts = [mixing._hash(*[np.r_[np.zeros(j, int), data[:-j]] for j in range(1, k + 1)]) for k in range(1, 6)]
+    code = mixing.Code(np.bincount(data, minlength=256) + 0.05, np.ones(256))
+    full = np.r_[data, np.arange(256)]
+    train = np.arange(len(full)) < len(data)
+    p = mixing.mixed_log10(code, full, 0 * full, code.length[full], [np.r_[c, np.full(256, c[77])] for c in contexts], train, mixing.LETTER_PRIOR, mixing.LETTER_LEAST, all_wanted=False)
+    assert abs((10 ** p[len(data) :]).sum() - 1) < 1e-4
+
+
+def slow_mixing(code, leaf, number, depth, contexts, train, prior, least, teach):
+    """The same model, bit by bit, on dictionaries."""
+    weights, seen_, came_, out = {}, {}, {}, [0.0] * len(leaf)
+    logistic = lambda x: 1 / (1 + math.exp(-x))
+
+    def bits(k):
+        path = [(int(code.bit[d, leaf[k]]), float(code.odds[d, leaf[k]])) for d in range(min(depth[k], code.length[leaf[k]]))]
+        lo, hi = 0, int(code.members[leaf[k]])
+        for rest in range(int(depth[k] - len(path)), 0, -1):
+            middle = lo + (1 << (rest - 1))
+            b = int(number[k] >= middle)
+            left, right = min(hi, middle) - lo, max(0, hi - middle)
+            path.append((b, math.inf if right == 0 else (1 if b else -1) * math.log(right / left)))
+            lo, hi = (middle, hi) if b else (lo, min(hi, middle))
+        return path
+
+    paths = [bits(k) for k in range(len(leaf))]
+    whole = lambda k, d: tuple(b for b, _ in paths[k][:d])
+    order = [k for k in range(len(leaf)) if train[k]] + [k for k in range(len(leaf)) if not train[k]]
+    alive = [[True] * len(contexts) for _ in leaf]
+    for d in range(max(depth) + 1):
+        groups = [{} for _ in contexts]
+        for k in order:
+            for c in range(len(contexts)):
+                if len(paths[k]) >= d and alive[k][c]:
+                    groups[c].setdefault((contexts[c][k], whole(k, d)), []).append(k)
+        for c, group in enumerate(groups):
+            for members in group.values():
+                n = sum(bool(train[k]) for k in members)
+                if n < max(1, least[c]) or (least[c] <= 1 and n == 1 and len(members) == 1):
+                    for k in members:
+                        alive[k][c] = False
+        batch = []
+        for k in order:
+            if d >= len(paths[k]):
+                continue
+            if not any(alive[k]):
+                if d == 0 or any(alive_before[k]):
+                    rest = [o for _, o in paths[k][d:]]
+                    out[k] += sum(math.log10(logistic(o)) if o < 700 else 0 for o in rest)
+                continue
+            b, odds = paths[k][d]
+            if odds == math.inf:
+                continue
+            p = logistic(max(-15, min(15, odds)))
+            x, gate = [max(-15, min(15, odds))], 0
+            for c, s in enumerate(prior):
+                n = m = 0
+                if alive[k][c]:
+                    for o in groups[c][(contexts[c][k], whole(k, d))]:
+                        if train[o] and o != k and len(paths[o]) > d:
+                            n, m = n + 1, m + (paths[o][d][0] == b)
+                p = (m + s * p) / (n + s)
+                x.append(math.log(p / max(1 - p, 1e-7)))
+                if c >= len(prior) - 3:
+                    gate = gate * 3 + min(n, 2)
+            batch.append((k, x, gate))
+        step = {}
+        for k, x, gate in batch:
+            w = weights.setdefault(gate, [0.0] * len(prior) + [1.0])
+            margin = max(-14, min(14, sum(a * b for a, b in zip(w, x))))
+            at = (max(-12, min(12, margin)) + 12) * 32 / 24
+            low = min(int(at), 31)
+            middle = [24 * logistic(-12 + 24 * i / 32) for i in range(33)]
+            seen, came = seen_.setdefault(gate, [24.0] * 33), came_.setdefault(gate, middle)
+            value = lambda i: came[i] / seen[i]  # noqa: E731, B023
+            p = logistic(margin)
+            out[k] += math.log10(0.5 * p + 0.5 * (value(low) * (1 - at + low) + value(low + 1) * (at - low)))
+            if train[k] and d < teach[k]:
+                step.setdefault(gate, []).append((x, 1 - p, low, at - low))
+        for gate, lessons in step.items():
+            for x, error, low, part in lessons:
+                for i, share in ((low, 1 - part), (low + 1, part)):
+                    came_[gate][i] += share
+                    seen_[gate][i] += share
+                    seen_[gate][32 - i] += share
+                for i, value in enumerate(x):
+                    weights[gate][i] += 0.04 * error * value / (len(lessons) + 64)
+        alive_before = [list(a) for a in alive]
+    return out
+
+
+def test_mixing_against_a_slow_loop():
+    v, seq = some_words(np.random.default_rng(6), 700)
+    back, far = history(seq, v.start)
+    train = np.random.default_rng(7).random(len(seq)) < 0.8
+    leaf, number, depth = v.place(seq)
+    contexts = [mixing._hash(*far), mixing._hash(back[0]), mixing._hash(*back[:2]), mixing._hash(*back)]
+    teach = np.where(leaf == v.rare, v.code.length[leaf], depth)
+    fast = mixing.mixed_log10(v.code, leaf, number, depth, contexts, train, mixing.WORD_PRIOR, mixing.WORD_LEAST, teach=teach)
+    slow = slow_mixing(v.code, leaf, number, depth, contexts, train, mixing.WORD_PRIOR, mixing.WORD_LEAST, teach)
+    assert np.abs(fast - slow).max() < 1e-3
+
+
+def test_frozen_columns_come_back():
     rng = np.random.default_rng(1)
-    row = np.sort(rng.integers(0, 5, 200))
-    word = rng.integers(0, 300_000, 200)
-    order = np.lexsort((word, row))
-    row, word, count = row[order], word[order], rng.integers(1, 2000, 200)
-    r, w, c = mixing._unpack(mixing._pack(row, word, count, 7))
-    back, want = Counter(), Counter()
-    for x in zip(r, w, c):
-        back[x[:2]] += x[2]
-    for x in zip(row, word, count):
-        want[x[:2]] += x[2]
-    assert +back == +want
+    columns = [rng.integers(0, 300, 50), np.zeros(0, int), np.zeros(4, int), rng.integers(0, 1 << 62, 9)]
+    assert all((a == b).all() and len(a) == len(b) for a, b in zip(columns, mixing.thaw(mixing.freeze(*columns))))
 
 
 # ---- near-duplicates
