@@ -18,8 +18,14 @@ from pyspark.sql import functions as F
 
 from .common import read_table
 
-_TAG = re.compile(r"""<!--(?:.*?-->|.*\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']+|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)""", re.S)
-_ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+#: Comments, tags, and declarations. Nothing backtracks: a quote counts after `=` only and if it is closed; a tag that isn't ends with the page.
+_TAG = re.compile(r"""<!--(?:-?>|.*?--!?>|.*\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"'=]++|=\s*+(?:"[^"]*+"|'[^']*+')|["'=])*+)(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)""", re.S)
+_ATTRIBUTE = re.compile(r"""([^\s=/>"']++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]++)))?+""")
+#: White space that is collapsed; no-break and ideographic spaces are text.
+_WHITE = " \t\n\r\f"
+_WORD = re.compile(r"[^ \t\n\r\f]+")
+#: As in browsers, elements that would stand deeper are put beside the deepest.
+DEEPEST = 512
 _HIDING = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.I)
 
 VOID = frozenset("area base br col embed frame hr img input link meta param source track wbr".split())
@@ -66,6 +72,8 @@ def parse(page: str) -> Node:
     counts: dict[str, int] = {"html": 1, "head": 1}
 
     def push(node: Node) -> None:
+        if len(stack) >= DEEPEST:
+            pop()
         stack[-1].children.append(node)
         stack.append(node)
         counts[node.tag] = counts.get(node.tag, 0) + 1
@@ -98,19 +106,17 @@ def parse(page: str) -> Node:
         m = _TAG.search(page, at)
         text = page[at : m.start()] if m else page[at:]
         if text:
-            if in_head and not text.isspace() and stack[-1].tag in ("head", "html"):
+            if in_head and text.strip(_WHITE) and stack[-1].tag in ("head", "html"):
                 in_head = False
                 enter_body()
             stack[-1].children.append(_entities.unescape(text) if "&" in text else text)
         if not m:
             break
         at = m.end()
-        name = m[2] or m[5]
-        if not name:
+        if not m[2]:
             continue
-        tag = name.lower()
-        rest = m[3] if m[2] else m[6]
-        if m[1] or m[4]:
+        tag, rest = m[2].lower(), m[3]
+        if m[1]:
             if tag == "head" and in_head:
                 in_head = False
                 enter_body()
@@ -129,7 +135,7 @@ def parse(page: str) -> Node:
                     if stack[k].tag in border or (tag not in _CELLS and tag not in _TABLE and stack[k].tag in _CELLS and tag not in ("tr", "thead", "tbody", "tfoot")):
                         break
             continue
-        attrs = _attributes(rest) if rest and not rest.isspace() else {}
+        attrs = _attributes(rest) if rest.strip(_WHITE) else {}
         if tag == "html":
             root.attrs = attrs | root.attrs
             continue
@@ -199,16 +205,16 @@ class Lines:
             self.line.append(self.indent[-1])
 
     def words(self, text: str) -> None:
-        parts = text.split()
+        parts = _WORD.findall(text)
         if not parts:
             self.space = self.space or bool(text)
             return
         if not self.line:
             self._begin()
-        elif self.space or text[0].isspace():
+        elif self.space or text[0] in _WHITE:
             self.line.append(" ")
         self.line.append(" ".join(parts))
-        self.space = text[-1].isspace()
+        self.space = text[-1] in _WHITE
 
     def verbatim(self, text: str) -> None:
         for k, line in enumerate(text.split("\n")):
@@ -222,7 +228,7 @@ class Lines:
     def end(self, always: bool = False) -> None:
         """End the line, if there is one; always: an empty line counts too."""
         if self.line:
-            self.done.append("".join(self.line).rstrip())
+            self.done.append("".join(self.line).rstrip(_WHITE))
             self.line = []
         elif always and self.done:
             self.done.append("")
@@ -256,7 +262,7 @@ def _rows(table: Node) -> tuple[list[Node], list[list[Node]]]:
     while todo:
         node = todo.pop()
         if isinstance(node, str):
-            if node.strip():
+            if node.strip(_WHITE):
                 loose = Node("caption", {})
                 loose.children = [node]
                 captions.append(loose)
@@ -268,7 +274,7 @@ def _rows(table: Node) -> tuple[list[Node], list[list[Node]]]:
                 if isinstance(cell, Node) and cell.tag in _CELLS:
                     if not hidden(cell):
                         rows[-1].append(cell)
-                elif isinstance(cell, Node) or cell.strip():
+                elif isinstance(cell, Node) or cell.strip(_WHITE):
                     loose = Node("td", {})
                     loose.children = [cell]
                     rows[-1].append(loose)
@@ -315,7 +321,7 @@ def _table(table: Node, depth: int, widest: int) -> tuple[list[str], list[str]]:
                 if lines and k < len(lines) and lines[k]:
                     line = line.ljust(start) if len(line) <= start else line + "  "
                     line += lines[k]
-            out.append(line.rstrip())
+            out.append(line.rstrip(_WHITE))
     return above, [line for line in out if line]
 
 
@@ -411,8 +417,9 @@ def visible_text(page: str | None) -> str:
 
 
 def extract_text(pages: DataFrame) -> DataFrame:
-    """page_id, text, n_chars, n_lines of each page.
+    """page_id, text, n_chars, n_lines of each page, in time that is linear in its length.
 
+    Tags with unpaired quotes end at their first `>`; one that the page's end cuts off is no text.
     Every row stays, repeated ones too; a null or empty html gives an empty text with 0 lines; a null page_id
     stays null; other columns are left out.
     """

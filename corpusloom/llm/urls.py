@@ -54,8 +54,9 @@ def _padded(order: int) -> Column:
 
 
 def _windows(order: int) -> Column:
-    """Each character of the padded url u with those before it."""
-    return F.explode(F.expr(f"transform(sequence({order + 1}, length(u)), i -> substr(u, i - {order}, {order + 1}))")).alias("w")
+    """Each character of the padded url u with those before it. The url is cut into characters once, so that long ones take linear time."""
+    window = ", ".join(f"c[i - {k}]" for k in range(order, -1, -1))
+    return F.explode(F.expr(f"transform(array(split(u, '')), c -> transform(sequence({order}, size(c) - 1), i -> concat({window})))[0]")).alias("w")
 
 
 def train(decided: DataFrame, order: int = ORDER) -> DataFrame:
@@ -84,11 +85,11 @@ def _differences(windows: DataFrame, model: DataFrame, order: int, weight: float
 
 def score(pages: DataFrame, model: DataFrame, order: int = ORDER, weight: float = 4.0) -> DataFrame:
     """pages with `ratio`: the length-normalised log-likelihood difference, positive for what looks accepted."""
-    keyed = pages.withColumn("__u", _padded(order))
-    urls = keyed.select(F.col("__u").alias("u")).distinct()
+    keyed = pages.withColumn("__u", F.sha2(_padded(order), 256))
+    urls = pages.select(_padded(order).alias("u")).distinct().select("u", F.sha2("u", 256).alias("key"), (F.length("u") - order).alias("n"))
     differences = checkpoint(_differences(urls.select(_windows(order)).distinct(), model, order, weight))
-    ratios = urls.select("u", _windows(order)).join(differences, "w").groupBy("u").agg((F.sum("d") / (F.length("u") - order)).alias("ratio"))
-    return keyed.join(ratios, F.col("__u") == F.col("u")).drop("__u", "u")
+    ratios = urls.select("key", "n", _windows(order)).join(differences, "w").groupBy("key", "n").agg((F.sum("d") / F.col("n")).alias("ratio"))
+    return keyed.join(ratios.select("key", "ratio"), F.col("__u") == F.col("key")).drop("__u", "key")
 
 
 def calibrate(scored: DataFrame) -> float:
