@@ -35,14 +35,9 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each near-duplicate class: the one of the smallest doc_id (once, if it is repeated)."""
+    """Keep one document of each near-duplicate class: the one of the smallest doc_id. Differing texts of one doc_id are each judged by themselves."""
     common.ship(spark)
-    classes = simhash.near_duplicates(docs).where("doc_id IS NOT NULL")
-    # Only ids that need a decision: all whose texts belong to another, and all that come more than once.
-    decided = classes.groupBy("doc_id").agg(F.bool_and(F.col("doc_id") != F.col("class_id")).alias("__gone"), (F.count("*") > 1).alias("__again")).where("__gone OR __again")
-    joined = docs.select(COLUMNS).join(decided, "doc_id", "left").where("NOT coalesce(__gone, false)")
-    once = joined.where("__again").dropDuplicates(["doc_id"])
-    return joined.where("NOT coalesce(__again, false)").unionByName(once).select(COLUMNS)
+    return simhash.keep_one(docs.select(COLUMNS))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

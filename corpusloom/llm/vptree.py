@@ -3,25 +3,31 @@
 Vectors are scaled to length one, where the Euclidean distance falls as the cosine rises, so the triangle
 inequality may prune. A child on the far side of a node's radius is searched if `factor` times the
 distance to the border is at most the distance of the worst neighbour so far: factor 1 is exact, a
-larger one prunes more. Queries go through a tree together, and come in blocks of bounded size; each
-block is one pass over all rows. Scores are summed in the order of the components, in doubles.
+larger one prunes more. Queries go through a tree together. Rows are dealt to shards by a hash, queries to
+blocks, and each shard meets each block in a task; so a task's memory has a bound, and nothing but counts
+comes to the driver. The best of all shards are merged by a window. Scores are summed in the order of the components, in doubles, after a
+power of two has been taken out of each vector, which changes no digit.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import checkpoint, read_table
 
 #: Slack for rounding in the pruning; final scores don't depend on it.
 EPS = 1e-7
 
 
+def scaled(a: np.ndarray) -> np.ndarray:
+    """Vectors times a power of two each that brings the largest component near 1, so that squares neither overflow nor vanish."""
+    return np.ldexp(a, -np.frexp(np.abs(a).max(axis=1))[1][:, None])
+
+
 def _unit(a: np.ndarray) -> np.ndarray:
     return a / np.sqrt((a * a).sum(axis=1))[:, None]
 
@@ -59,16 +65,27 @@ class Tree:
 
 
 class Search:
-    """The k nearest of each query over any number of trees."""
+    """The k nearest of each query over any number of trees. A query's own row has its id and its vector, and isn't searched once."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int, factor: float):
+        vectors = scaled(vectors)
         self.ids, self.vectors, self.k, self.factor = ids, vectors, k, factor
         self.unit = _unit(vectors)
         self.norm = np.sqrt(_dot(vectors, vectors))
         self.worst = np.full(len(ids), -np.inf)  # cosine of the k-th so far
         self.found = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))  # query row, vec_id, score
 
-    def add(self, ids: np.ndarray, vectors: np.ndarray, leaf: int = 128) -> None:
+    def add(self, ids: np.ndarray, vectors: np.ndarray, copy: np.ndarray | None = None, leaf: int = 128) -> None:
+        """copy: 0 for a row, 1, 2, ... for rows that repeat its id and vector."""
+        copy = np.zeros(len(ids), np.int64) if copy is None else copy
+        vectors = scaled(vectors)
+        # Of equal vectors only those of the smallest ids can be among the nearest: k, and one that may be the query's own.
+        same = pd.factorize(np.ascontiguousarray(vectors).view(f"V{vectors.itemsize * vectors.shape[1]}").ravel().astype(object))[0] if len(ids) > 1 else np.zeros(len(ids), np.int64)
+        order = np.lexsort((copy, ids, same))
+        first = np.flatnonzero(np.r_[True, same[order][1:] != same[order][:-1]])
+        rank = np.arange(len(order)) - np.repeat(first, np.diff(np.r_[first, len(order)]))
+        keep = np.sort(order[rank <= self.k])
+        ids, vectors, self.copy = ids[keep], vectors[keep], copy[keep]
         tree = Tree(_unit(vectors), leaf)
         norm = np.sqrt(_dot(vectors, vectors))
         self._visit(tree, tree.root, np.arange(len(self.ids)), ids, vectors, norm)
@@ -90,8 +107,16 @@ class Search:
         self._visit(tree, inner, q[~near & far], ids, vectors, norm)
 
     def _leaf(self, rows, tree, q, ids, vectors, norm) -> None:
+        # A leaf is long only where many rows are equally far from a vantage point.
+        for lo in range(0, len(rows), 2048):
+            for at in range(0, len(q), 2048):
+                self._compare(rows[lo : lo + 2048], tree, q[at : at + 2048], ids, vectors, norm)
+
+    def _compare(self, rows, tree, q, ids, vectors, norm) -> None:
         sims = self.unit[q] @ tree.unit[rows].T
-        sims[self.ids[q][:, None] == ids[rows][None, :]] = -np.inf
+        a, b = np.nonzero((self.ids[q][:, None] == ids[rows][None, :]) & (self.copy[rows] == 0))
+        own = (self.vectors[q[a]] == vectors[rows[b]]).all(axis=1)
+        sims[a[own], b[own]] = -np.inf
         least = self.worst[q]
         if len(rows) > self.k:
             least = np.maximum(least, np.partition(sims, -self.k, axis=1)[:, -self.k])
@@ -115,78 +140,81 @@ class Search:
         self.found = (np.concatenate([row[~kept], row2[top]]), np.concatenate([vec[~kept], vec2[top]]), np.concatenate([old[~kept], score2[top]]))
 
 
-def _matrices(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Ids and vectors of each dimension that a batch holds."""
-    ids = batch.column(0).to_numpy(zero_copy_only=False)
-    lists = batch.column(1)
+def _matrices(table: pa.Table) -> dict[int, tuple[np.ndarray, ...]]:
+    """Ids, vectors, numbers of rows and hashes for each dimension that a table holds, in an order that doesn't depend on the shuffle."""
+    table = table.combine_chunks()
+    if not table.num_rows:
+        return {}
+    ids, times, marks = (table.column(c).to_numpy() for c in ("vec_id", "times", "mark"))
+    lists = table.column("embedding").chunk(0)
     n = np.diff(lists.offsets.to_numpy())
-    values = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    values = lists.flatten().to_numpy(zero_copy_only=False)
     start = np.cumsum(n) - n
+    out = {}
     for d in np.unique(n):
         rows = np.flatnonzero(n == d)
-        yield ids[rows], values[start[rows][:, None] + np.arange(d)]
-
-
-def _search(queries, k: int, factor: float, shard: int):
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        searches = {d: Search(ids, vectors, k, factor) for d, (ids, vectors) in queries.value.items()}
-        waiting: dict[int, list] = {}
-
-        def build(d: int) -> None:
-            parts = waiting.pop(d)
-            searches[d].add(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
-
-        for batch in batches:
-            for ids, vectors in _matrices(batch):
-                d = vectors.shape[1]
-                if d in searches:
-                    for at in range(0, len(ids), shard):
-                        waiting.setdefault(d, []).append((ids[at : at + shard], vectors[at : at + shard]))
-                        if sum(len(p[0]) for p in waiting[d]) >= shard:
-                            build(d)
-        for d in list(waiting):
-            build(d)
-        for s in searches.values():
+        vectors = values[start[rows][:, None] + np.arange(d)]
+        order = np.lexsort((marks[rows], ids[rows]))
+        out[int(d)] = ids[rows][order], vectors[order], times[rows][order], marks[rows][order]
+    return out
+
+
+_NONE = pa.table({"query_id": pa.array([], pa.int64()), "mark": pa.array([], pa.int64()), "times": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+
+
+def _search(k: int, factor: float, shard: int):
+    def work(rows: pa.Table, queries: pa.Table) -> pa.Table:
+        held, out = _matrices(rows), []
+        for d, (ids, vectors, times, marks) in _matrices(queries).items():
+            if d not in held:
+                continue
+            s = Search(ids, vectors, k, factor)
+            at, rows_, n, _ = held[d]
+            n = np.minimum(n, k + 1)
+            pick = np.repeat(np.arange(len(at)), n)
+            copy = np.arange(len(pick)) - np.repeat(np.cumsum(n) - n, n)
+            for lo in range(0, len(pick), shard):
+                now = pick[lo : lo + shard]
+                s.add(at[now], rows_[now], copy[lo : lo + shard])
             row, vec, score = s.found
-            yield pa.RecordBatch.from_arrays([pa.array(s.ids[row]), pa.array(vec), pa.array(score)], ["query_id", "vec_id", "score"])
+            out.append(pa.table({"query_id": ids[row], "mark": marks[row], "times": times[row], "vec_id": vec, "score": score}))
+        return pa.concat_tables([_NONE, *out])
 
     return work
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, factor: float = 1.0, shard: int = 16_384, block: int = 20_000) -> DataFrame:
-    """query_id, rank, vec_id, score: the k rows of largest cosine to each query row, without the rows of its own id.
+def _each(n: int) -> Column:
+    return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
 
-    vectors, queries: vec_id long, embedding (array of numbers). Rows whose id is null, or whose vector is
+
+def nearest(vectors: DataFrame, queries: Column, k: int = 5, factor: float = 1.0, shard: int = 16_384, rows_a_task: int = 131_072, queries_a_task: int = 16_384) -> DataFrame:
+    """query_id, rank, vec_id, score: the k rows of largest cosine to each row for which `queries` is true, without itself.
+
+    vectors: vec_id long, embedding (array of numbers). Rows whose id is null, or whose vector is
     null, empty, zero or holds null or non-finite components take no part; vectors are compared with those
-    of their own length only. Ties go to the smaller id; repeated ids are searched as they come. Empty
+    of their own length only. Ties go to the smaller id. Repeated rows are searched, and answered, as often as they come. Empty
     tables give no rows; other columns are left out.
     """
-
-    def usable(df: DataFrame) -> DataFrame:
-        df = df.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>"))
-        finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-        return df.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & finite & F.exists("embedding", lambda x: x != 0))
-
-    spark = vectors.sparkSession
-    rows, asked = usable(vectors), usable(queries)
-    blocks = max(1, -(-2 * asked.count() // block))  # hashing spreads unevenly: half as many as a block may hold
-    parts = []
-    for b in range(blocks):
-        held: dict[int, list] = {}
-        for r in asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).collect():  # at most about `block` rows
-            held.setdefault(len(r.embedding), []).append((r.vec_id, r.embedding))
-        ready = {d: (np.array([i for i, _ in x], dtype=np.int64), np.array([v for _, v in x])) for d, x in held.items()}
-        parts.append(rows.mapInArrow(_search(spark.sparkContext.broadcast(ready), k, factor, shard), "query_id long, vec_id long, score double"))
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionByName(part)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    usable = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>"), F.coalesce(queries, F.lit(False)).alias("asked"))
+    usable = usable.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & finite & F.exists("embedding", lambda x: x != 0))
+    # Rows that are wholly alike are one, however many there are, so that a hash deals the rest evenly.
+    distinct = checkpoint(usable.groupBy("vec_id", "embedding").agg(F.count("*").alias("times"), F.bool_or("asked").alias("asked")))
+    n, asked = distinct.agg(F.count("*"), F.count(F.when(F.col("asked"), 1))).first()
+    shards, blocks = n // rows_a_task + 1, asked // queries_a_task + 1
+    columns = ["vec_id", "embedding", "times", "mark"]
+    marked = distinct.withColumn("mark", F.xxhash64("vec_id", "embedding"))
+    left = marked.select(*columns, F.pmod("mark", F.lit(shards)).cast("long").alias("shard"), _each(blocks).alias("block"))
+    right = marked.where("asked").select(*columns, _each(shards).alias("shard"), F.pmod("mark", F.lit(blocks)).cast("long").alias("block"))
+    found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(_search(k, factor, shard), "query_id long, mark long, times long, vec_id long, score double")
+    order = Window.partitionBy("query_id", "mark").orderBy(F.desc("score"), "vec_id")
+    best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return best.select("query_id", "rank", "vec_id", "score", F.explode(F.expr("array_repeat(0, cast(times as int))"))).select("query_id", "rank", "vec_id", "score")
 
 
 def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read_table(spark, sf_dir, "embeddings")
-    return nearest(rows, rows.where("vec_id % 50 = 0"))
+    return nearest(rows, F.col("vec_id") % 50 == 0)
 
 
 ORACLE = """

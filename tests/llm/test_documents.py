@@ -353,26 +353,81 @@ def test_near_duplicates_beside_a_template(docs):
     assert [out[k] for k in range(len(texts))] == brute_classes(texts)
 
 
+def test_near_duplicates_of_many_texts(spark):
+    # Enough texts for the recursion; pairs around the threshold, judged one by one.
+    rng = np.random.default_rng(11)
+    texts, sets = [], []
+    for _ in range(11_000):
+        words = [f"w{k}" for k in rng.integers(0, 5000, 60)]
+        texts.append(" ".join(words))
+        other = list(words)
+        for at in rng.choice(60, rng.integers(1, 3), replace=False):
+            other[at] = f"x{rng.integers(5000)}"
+        texts.append(" ".join(other))
+    sets = [shingles(t) for t in texts]
+    pairs = [k for k in range(0, len(texts), 2) if len(sets[k] & sets[k + 1]) >= 0.8 * len(sets[k] | sets[k + 1])]
+    assert 2000 < len(pairs) < 10_000
+    table = spark.createDataFrame(pa.table({"doc_id": np.arange(len(texts)), "text": texts}))
+    out = {r.doc_id: r.class_id for r in simhash.near_duplicates(table).collect()}
+    assert np.mean([out[k] == out[k + 1] for k in pairs]) >= 0.98
+    assert all(out[k] != out[k + 1] for k in set(range(0, len(texts), 2)) - set(pairs))
+
+
+def test_a_list_of_alike_texts_takes_little_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(12)
+    x = np.tile(rng.integers(0, 2, 256, dtype=np.uint8), (20_000, 1)) ^ (rng.random((20_000, 256)) < 0.02)
+    fp = np.packbits(x.astype(np.uint8), axis=1, bitorder="little").view(np.uint64)
+    plan = simhash.Plan(len(fp), 0.8, 0.99)
+    table = pa.table({"list": np.zeros(len(fp), np.int64), "id": np.arange(len(fp)), **{f"f{k}": np.ascontiguousarray(fp[:, k]).view(np.int64) for k in range(4)}, "joined": np.arange(len(fp))})
+    tracemalloc.start()
+    found = 0
+    for out in simhash._in_list(plan, True)(iter(table.to_batches())):
+        found += out.num_rows
+        if found > 20_000_000:
+            break
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found > 20_000_000 and peak < 1 << 29
+    first = sum(out.num_rows for out in simhash._in_list(plan, False)(iter(table.to_batches())))
+    assert first < 20 * len(fp) * plan.to
+
+
+def test_texts_of_a_repeated_id_are_each_judged(docs):
+    rng = np.random.default_rng(13)
+    a, b = ([f"{x}{k}" for k in rng.integers(0, 900, 120)] for x in "ab")
+    near = lambda w: " ".join([*w[:-1], "other"])
+    rows = [(3, " ".join(a)), (5, near(a)), (5, " ".join(b)), (2, near(b)), (7, "alone once"), (7, "alone twice more"), (7, "Alone once"), (8, ""), (8, None), (None, "alone once")]
+    out = sorted((r.doc_id or 0, r.class_id or 0) for r in simhash.near_duplicates(docs(rows)).collect())
+    assert out == [(0, 0), (2, 2), (3, 3), (5, 2), (5, 3), (7, 7), (7, 7), (7, 7), (8, 8), (8, 8)]
+    kept = simhash.keep_one(docs(rows)).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept) == sorted([(0, "alone once"), (2, near(b)), (3, " ".join(a)), (7, "Alone once"), (7, "alone twice more"), (8, ""), (8, "")])
+    assert kept[0].score == 8
+
+
 def test_near_duplicate_edges(docs):
     out = simhash.near_duplicates(docs([(None, "a b c"), (3, "a b c"), (3, "a b c"), (4, ""), (5, None), (6, "A b C")])).collect()
     assert sorted((r.doc_id or -1, r.class_id or -1) for r in out) == [(-1, -1), (3, 3), (3, 3), (4, 4), (5, 5), (6, 3)]
     assert simhash.near_duplicates(docs([])).count() == 0
 
 
-def test_recursion_reaches_its_recall():
+@pytest.mark.parametrize("wide", [1024, 4])
+def test_recursion_reaches_its_recall(wide):
     rng = np.random.default_rng(6)
     share = simhash.distance_share(0.8)
     x = rng.integers(0, 2, (9000, 256), dtype=np.uint8)
     x[1::2] = x[::2] ^ (rng.random((4500, 256)) < share)
     fp = np.packbits(x, axis=1, bitorder="little").view(np.uint64)
-    plan = simhash.Plan(len(fp), 0.8, 0.99, list_size=3000, short=600)
+    plan = simhash.Plan(len(fp), 0.8, 0.99, list_size=3000, short=600, wide=wide)
+    assert (plan.levels > 1) == (wide == 4)
     met = set()
     for r in range(plan.repeat):
-        lists = simhash._lists(x, *plan.first(r), plan.to)
-        for k in range(plan.centres):
+        lists = plan.assign(x, r)
+        for k in np.unique(lists):
             rows = np.flatnonzero((lists == k).any(axis=1))
-            i, j, _ = simhash.close_pairs(fp[rows], plan.limit, plan.short, plan.to, [1, r, k])
-            met |= {tuple(sorted(p)) for p in zip(rows[i], rows[j])}
+            for i, j in simhash.close_blocks(fp[rows], plan.limit, plan.short, plan.to, [1, r, int(k)]):
+                met |= {tuple(sorted(p)) for p in zip(rows[i], rows[j])}
     close = np.bitwise_count(fp[::2] ^ fp[1::2]).sum(axis=1) <= plan.limit
     assert np.mean([(2 * k, 2 * k + 1) in met for k in np.flatnonzero(close)]) > 0.97
 
@@ -391,8 +446,8 @@ def test_long_lists_keep_the_chance_of_the_assumed_length():
     def chance(rows):
         ids = pa.array(np.arange(rows))
         words = {f"f{k}": pa.array(np.ascontiguousarray(fp[:rows, k]).view(np.int64)) for k in range(4)}
-        out = simhash._in_list(plan, True)(pa.table({"list": pa.array(np.full(rows, 5)), "id": ids, **words, "joined": ids}))
-        met = {tuple(sorted(p)) for p in zip(out.column("a").to_pylist(), out.column("b").to_pylist())}
+        table = pa.table({"list": pa.array(np.full(rows, 5)), "id": ids, **words, "joined": ids})
+        met = {tuple(sorted(p)) for out in simhash._in_list(plan, True)(iter(table.to_batches())) for p in zip(out.column("a").to_pylist(), out.column("b").to_pylist())}
         asked = close[close < rows // 2].tolist()
         return np.mean([(2 * k, 2 * k + 1) in met for k in asked])
 

@@ -2,9 +2,13 @@
 
 import math
 import re
+import time
+from html.parser import HTMLParser
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from corpusloom.llm import html, urls, vptree
 
@@ -125,7 +129,7 @@ def test_neighbours_are_exact(spark):
     rows += [(1000, None, 0), (1050, [0.0] * 8, 0), (1100, [float("nan")] * 8, 0), (1150, [None] * 8, 0), (1200, [], 0), (None, [1.0] * 8, 0), (1250, [1.0, 2.0], 0), (1251, [2.0, 1.0], 0)]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").selectExpr("*", "1 AS score", "2 AS rank", "3 AS query_id").repartition(5)
     out = {}
-    for r in vptree.nearest(table, table.where("vec_id % 50 = 0"), shard=150).collect():
+    for r in vptree.nearest(table, F.col("vec_id") % 50 == 0, shard=150).collect():
         out.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
     assert out.keys() == {*range(0, 700, 50), 1250}
     for q, got in out.items():
@@ -136,7 +140,7 @@ def test_neighbours_are_exact(spark):
         want = sorted(score, key=lambda k: (-round(score[k], 12), k))[:5]
         assert [x[1] for x in sorted(got)] == want
         assert [x[2] for x in sorted(got)] == pytest.approx([score[k] for k in want], abs=1e-12)
-    assert vptree.nearest(table.where("false"), table.where("false")).count() == 0
+    assert vptree.nearest(table.where("false"), F.lit(True)).count() == 0
 
 
 def test_relaxed_pruning_has_recall():
@@ -148,3 +152,111 @@ def test_relaxed_pruning_has_recall():
         s.add(ids, v)
     pairs = [set(zip(s.found[0], s.found[1])) for s in (exact, fast)]
     assert len(pairs[0] & pairs[1]) >= 0.9 * len(pairs[0])
+
+
+def brute_nearest(rows, k=5):
+    """Every query row against every other row."""
+    out = []
+    for x, (q, v) in enumerate(rows):
+        if q % 50:
+            continue
+        v = np.array(v) / np.abs(v).max()
+        found = []
+        for y, (i, w) in enumerate(rows):
+            if x != y:
+                w = np.array(w) / np.abs(w).max()
+                found.append((-round(float(v @ w / math.sqrt(v @ v) / math.sqrt(w @ w)), 12), i))
+        out += [(q, n + 1, i, -score) for n, (score, i) in enumerate(sorted(found)[:k])]
+    return sorted(out)
+
+
+def test_neighbours_of_extreme_and_repeated_rows(spark):
+    rng = np.random.default_rng(4)
+    rows = [(k, [float(x) for x in rng.standard_normal(3)]) for k in range(60)]
+    rows += [(100, [1e200, 1.0, 0.0]), (101, [1e-200, 1e-210, 0.0]), (150, [5e-324, 0.0, 0.0]), (102, [1e308, 1e308, -1e308])]
+    rows += [(50, [1.0, 2.0, 3.0])] * 3 + [(50, [3.0, 2.0, 1.0]), (7, [1.0, 2.0, 3.0])] + [(200 + k, [1.0, 1.0, 1.0]) for k in range(300)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for options in ({}, {"rows_a_task": 40, "queries_a_task": 3, "shard": 16}):
+        got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in vptree.nearest(table, F.col("vec_id") % 50 == 0, **options).collect())
+        want = brute_nearest(rows)
+        assert [x[:3] for x in got] == [x[:3] for x in want]
+        assert [x[3] for x in got] == pytest.approx([x[3] for x in want], abs=1e-11)
+
+
+def test_many_neighbours_in_several_tasks(spark):
+    rng = np.random.default_rng(5)
+    v = rng.standard_normal((100_000, 12))
+    table = spark.createDataFrame(pa.table({"vec_id": np.arange(len(v)), "embedding": v.tolist()}))
+    got = {}
+    for r in vptree.nearest(table, F.col("vec_id") % 500 == 0, rows_a_task=30_000, queries_a_task=80).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+    unit = v / np.linalg.norm(v, axis=1)[:, None]
+    sims = unit[::500] @ unit.T
+    sims[np.arange(200), np.arange(0, 100_000, 500)] = -2
+    for k, row in enumerate(sims):
+        assert [x for _, x in sorted(got[500 * k])] == np.argsort(-row, kind="stable")[:5].tolist()
+
+
+@pytest.mark.parametrize("page", ['<a xxxx"' + "y" * 100_000, "<a '" * 30_000, '<a "> ' * 30_000, '<a b="x' * 20_000, "<!--" * 30_000, "<a" * 50_000, "<a b=\"'>" * 30_000, "<div>" * 50_000, "<a><table>" + "<div>" * 2000 + "</a>" * 20_000, "<li>" * 50_000, "<p a" + " " * 100_000 + ">x"])
+def test_pages_that_misuse_quotes_and_tags_take_linear_time(page):
+    start = time.process_time()
+    html.visible_text(page)
+    assert time.process_time() - start < 20
+
+
+def test_comments_and_spaces_as_in_browsers():
+    assert html.visible_text("a<!-->b-->c <!--->d<!-- x --!>e<!-- > -- -->f") == "ab-->c def"
+    assert html.visible_text("a\u00a0 b\u3000c \t d") == "a\u00a0 b\u3000c d"
+    assert html.visible_text('<a title="x>y">z</a> <b c=">q</b>w') == "z qw"
+    assert html.visible_text('<b c=">q</b>w <i class=a"b>v</i>') == "v"
+    assert html.visible_text("x <a href=y") == "x"
+
+
+class Slow(HTMLParser):
+    """The words of a page by another parser, for pages with paired tags."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.hidden, self.parts = [], []
+
+    def handle_starttag(self, tag, attrs):
+        a = dict(attrs)
+        if tag not in html.VOID:
+            gone = tag in html.HIDDEN or "hidden" in a or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a.get("style") or ""))
+            self.hidden.append((tag, gone))
+        if tag not in ("a", "b", "i", "em", "strong", "span", "code", "small"):
+            self.parts.append(" ")
+
+    def handle_endtag(self, tag):
+        while any(t == tag for t, _ in self.hidden):
+            if self.hidden.pop()[0] == tag:
+                break
+        if tag not in ("a", "b", "i", "em", "strong", "span", "code", "small"):
+            self.parts.append(" ")
+
+    def handle_data(self, data):
+        if not any(gone for _, gone in self.hidden):
+            self.parts.append(data)
+
+
+def test_words_of_pages_against_another_parser(spark):
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect()]
+    assert len(pages) > 200
+    mark = re.compile(r"(?m)^\s*(?:- |\d+\. )")
+    differ = []
+    for page in pages:
+        slow = Slow()
+        slow.feed(page or "")
+        slow.close()
+        letters = lambda t: re.sub(r"[ \t\n\r\f]+", "", t)
+        if letters(mark.sub("", html.visible_text(page))) != letters(mark.sub("", "".join(slow.parts))):
+            differ.append(page)
+    assert len(differ) == 0, differ[0]
+
+
+def test_a_very_long_url(spark):
+    long = "http://a.org/x?" + "é1b2" * 250_000
+    table = spark.createDataFrame([(k, u) for k, u in enumerate([long, long + "z", "http://a.org/fr/1", "http://b.net/x"])], "page_id long, url string")
+    start = time.monotonic()
+    assert len(urls.filter_urls(table).collect()) == 4
+    assert time.monotonic() - start < 120
