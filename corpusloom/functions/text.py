@@ -54,10 +54,13 @@ def trigrams(c: Column) -> Column:
 
 def token_f1(a: Column, b: Column) -> Column:
     """F1 of two sets of content tokens, given as arrays; 0 if either is empty or they share nothing."""
-    common = F.size(F.array_intersect(a, b))
-    return F.when((F.size(a) == 0) | (F.size(b) == 0) | (common == 0), F.lit(0.0)).otherwise(
-        2 * (common / F.size(a)) * (common / F.size(b)) / (common / F.size(a) + common / F.size(b))
-    )
+    # Bound to variables, lest the sets are worked out for each use.
+    held = F.array(F.struct(F.size(a).alias("a"), F.size(b).alias("b"), F.size(F.array_intersect(a, b)).alias("common")))
+
+    def f1(n: Column) -> Column:
+        return F.when((n["a"] == 0) | (n["b"] == 0) | (n["common"] == 0), F.lit(0.0)).otherwise(2 * (n["common"] / n["a"]) * (n["common"] / n["b"]) / (n["common"] / n["a"] + n["common"] / n["b"]))
+
+    return F.transform(held, f1)[0]
 
 
 def sha256_text(c: Column) -> Column:

@@ -82,7 +82,9 @@ def paragraph_action(block: Column) -> Column:
 
 def classify_blocks(docs: DataFrame, stop_headings: list[str] = []) -> DataFrame:
     """doc_id, pos, kept (the block, or null), action, image_lines for the blocks before a terminal heading, and that heading."""
-    stops = [s.lower() for s in stop_headings]
+    # Normalised once, as a row; then they are words for the rule.
+    stops = docs.sparkSession.createDataFrame([(s,) for s in stop_headings], "s string").select(normalise_heading(F.col("s"))).collect() if stop_headings else []
+    stops = [r[0] for r in stops]
     blocks = split_blocks(docs).withColumn("norm", F.when(F.col("is_heading"), normalise_heading(F.col("block"))))
     order = Window.partitionBy("doc_id").orderBy("pos")
     so_far = order.rowsBetween(Window.unboundedPreceding, 0)

@@ -10,6 +10,7 @@ import difflib
 import hashlib
 import json
 import random
+import re
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass
@@ -25,6 +26,8 @@ QTYPES = ["factoid", "reasoning", "comparison", "methodological", "quantitative"
 DIFFICULTIES = ["easy", "medium", "hard"]
 ITEM = "struct<question:string,answer:string,evidence_span:string,qtype:string,difficulty:string>"
 
+VERDICT = "struct<answerable:boolean,supported:boolean,self_contained:boolean,reason:string>"
+
 GENERATE = "Write up to {k} questions that the passage below answers without further sources. Reply with JSON: items of question, answer, evidence_span (copied from the passage), qtype, difficulty.\nSection: {section}\n<passage>\n{passage}\n</passage>"
 VERIFY = "Say whether the passage answers the question, supports the answer, and whether the question stands by itself. Reply with JSON: answerable, supported, self_contained, reason.\n<passage>\n{passage}\n</passage>\nQuestion: {question}\nAnswer: {answer}"
 ANSWER = "Reply to the question from the passage alone, or with UNANSWERABLE.\n<passage>\n{passage}\n</passage>\nQuestion: {question}"
@@ -97,13 +100,20 @@ def with_retries(call: Callable, transient: tuple[type[BaseException], ...], att
 
 
 def ask(requests: DataFrame, provider: Callable[[pd.Series], pd.DataFrame], keys: list[str], pace: float = 0.0) -> DataFrame:
-    """keys, reply, input_tokens, output_tokens, error for the `prompt` of each row. provider: prompts to a frame of reply and, if it has them, token counts; if it fails, its rows carry the error."""
+    """keys, reply, input_tokens, output_tokens, error for the `prompt` of each row. provider: prompts to a frame of reply and, if it has them, token counts; if it fails, its rows carry the error. pace: seconds before each prompt, which then goes alone."""
+
+    def paced(prompt: pd.Series) -> pd.DataFrame:
+        time.sleep(pace)
+        return provider(prompt)
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = frame[keys].copy()
             try:
-                got = provider(frame["prompt"])
+                if pace:
+                    got = pd.concat([paced(frame["prompt"].iloc[[k]]) for k in range(len(frame))], ignore_index=True) if len(frame) else provider(frame["prompt"])
+                else:
+                    got = provider(frame["prompt"])
                 out["reply"] = got["reply"].to_numpy()
                 for c in ("input_tokens", "output_tokens"):
                     out[c] = got[c].to_numpy() if c in got else 0
@@ -111,8 +121,6 @@ def ask(requests: DataFrame, provider: Callable[[pd.Series], pd.DataFrame], keys
             except Exception as e:  # noqa: BLE001
                 out["reply"], out["input_tokens"], out["output_tokens"], out["error"] = None, 0, 0, f"{type(e).__name__}: {e}"
             yield out
-            if pace:
-                time.sleep(pace)
 
     fields = ", ".join(f"{k} {requests.schema[k].dataType.simpleString()}" for k in keys)
     return requests.select(*keys, "prompt").mapInPandas(work, f"{fields}, reply string, input_tokens long, output_tokens long, error string")
@@ -136,14 +144,77 @@ def parse_items(reply: Column) -> Column:
     return F.when(whole, items)
 
 
+def http_provider(settings: dict, options: dict | None = None, structured: bool = True) -> Callable[[pd.Series], pd.DataFrame]:
+    """A provider that posts each prompt to a chat service of the usual kind (base_url, api_key, model; temperature, max_tokens, timeout)."""
+    if not settings.get("base_url") or not settings.get("api_key"):
+        raise ValueError("a model service needs base_url and api_key")
+    body = {"model": settings.get("model", "default"), "temperature": settings.get("temperature", 0.7), "max_tokens": settings.get("max_tokens", 4096), **(options or {})}
+    if structured:
+        body["response_format"] = {"type": "json_object"}
+
+    def one(prompt: str) -> tuple[str, int, int]:
+        import urllib.error
+        import urllib.request
+
+        data = json.dumps({**body, "messages": [{"role": "user", "content": prompt}]}).encode()
+        request = urllib.request.Request(settings["base_url"].rstrip("/") + "/chat/completions", data, {"Authorization": f"Bearer {settings['api_key']}", "Content-Type": "application/json"})
+        try:
+            with urllib.request.urlopen(request, timeout=settings.get("timeout", 600)) as answer:
+                got = json.load(answer)
+        except urllib.error.HTTPError as e:
+            if e.code not in (429, 500, 502, 503, 504):
+                raise
+            again = Transient(f"status {e.code}")
+            after = e.headers.get("Retry-After", "")
+            if after.isdigit():
+                again.retry_after = float(after)
+            raise again from e
+        except (urllib.error.URLError, TimeoutError) as e:
+            raise Transient(str(e)) from e
+        used = got.get("usage") or {}
+        return got["choices"][0]["message"]["content"], used.get("prompt_tokens", 0), used.get("completion_tokens", 0)
+
+    call = with_retries(one, (Transient,))
+
+    def provider(prompts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([call(p) for p in prompts], columns=["reply", "input_tokens", "output_tokens"])
+
+    return provider
+
+
+class Transient(Exception):
+    """An error after which a call is worth repeating; retry_after: seconds that the service asks for."""
+
+    retry_after: float | None = None
+
+
+def offline_provider(prompts: pd.Series) -> pd.DataFrame:
+    """Replies to the three prompts by the rules of the offline generator, for runs without a service."""
+    replies = []
+    for p in prompts:
+        passage = re.search(r"(?s)<passage>\n(.*)\n</passage>", p)[1].strip()
+        long = [s.strip() for s in re.split(r"(?<=[.!?])\s+", passage) if len(s.strip()) > 40]
+        if p.startswith("Write"):
+            items = [
+                {"question": f'According to the passage, what is stated in: "{s[:60]}..."?', "answer": s, "evidence_span": s, "qtype": "reasoning" if n else "factoid", "difficulty": "medium" if n else "easy"}
+                for n, s in enumerate(long[:2])
+            ]
+            replies.append(json.dumps({"items": items}, ensure_ascii=False))
+        elif p.startswith("Say"):
+            replies.append('{"answerable": true, "supported": true, "self_contained": true, "reason": "offline"}')
+        else:
+            replies.append(long[0] if long else "UNANSWERABLE")
+    return pd.DataFrame({"reply": replies, "input_tokens": [len(p) // 4 for p in prompts], "output_tokens": [len(r) // 4 for r in replies]})
+
+
 def long_sentences(passage: Column) -> Column:
     return F.filter(F.transform(F.split(passage, r"(?U)(?<=[.!?])\s+"), tx.strip), lambda s: F.length(s) > 40)
 
 
 def offline_candidates(units: DataFrame) -> DataFrame:
-    """Two candidates at most of each unit (unit_id, doc_id, section, text, source_start, source_end): its first long sentences as their own answers."""
+    """Two candidates at most of each unit (unit_id, doc_id, section, text, source_start, source_end): its first long sentences as their own answers. reply: what the offline answerer says, the first of them."""
     picked = units.withColumn("sentences", F.slice(long_sentences(tx.strip(F.col("text"))), 1, 2))
-    rows = picked.select("*", F.posexplode("sentences").alias("item", "answer")).drop("sentences")
+    rows = picked.select("*", F.get("sentences", F.lit(0)).alias("reply"), F.posexplode("sentences").alias("item", "answer")).drop("sentences")
     first = F.col("item") == 0
     question = F.concat(F.lit('According to the passage, what is stated in: "'), F.substring("answer", 1, 60), F.lit('..."?'))
     return rows.select("*", question.alias("question"), F.col("answer").alias("evidence_span"), F.when(first, "factoid").otherwise("reasoning").alias("qtype"), F.when(first, "easy").otherwise("medium").alias("difficulty"))
@@ -180,7 +251,7 @@ def _matched_share():
     """Characters of a span in matching blocks of a text, over its length. Made in here, it goes to workers by value, which needn't have this package."""
 
     def share(span: pd.Series, text: pd.Series) -> pd.Series:
-        return pd.Series([sum(b.size for b in difflib.SequenceMatcher(None, s, t, autojunk=False).get_matching_blocks()) / len(s) if s else 0.0 for s, t in zip(span, text)], dtype=float)
+        return pd.Series([sum(b.size for b in difflib.SequenceMatcher(None, s, t, autojunk=False).get_matching_blocks()) / len(s) if s else 0.0 for s, t in zip(span, text)], dtype=float)  # null: not asked
 
     share.__annotations__ = {"span": pd.Series, "text": pd.Series, "return": pd.Series}
     return F.pandas_udf(share, T.DoubleType())
@@ -198,20 +269,20 @@ def check_candidates(candidates: DataFrame, threshold: float = 0.85) -> DataFram
     """candidates (question, answer, evidence_span, text, source_start) with errors, drop (null: kept), evidence_start, evidence_end.
 
     A candidate is kept if it is clean and its span isn't blank and stands in the passage, which makes its
-    ratio 1. So the matching of blocks runs only for clean ones without their span, to name the reason, and
-    for those whose lower case differs from what is contained.
+    ratio 1. So blocks are matched only for clean ones without their span, to name the reason, and
+    for those whose lower case differs from what is contained; the others go past as nulls.
     """
     rows = candidates.withColumns({"errors": hygiene_errors(F.col("question"), F.col("answer")), "at": F.expr("locate(evidence_span, text)")})
     blank = tx.norm(F.col("evidence_span")) == ""
-    whole = tx.norm(F.col("text")).contains(tx.norm(F.col("evidence_span")))
-    ask_ratio = (F.size("errors") == 0) & ~blank & ~whole
-    ratio = F.when(blank, 0.0).when(whole, 1.0)
-    plain = rows.where(~ask_ratio).withColumn("ratio", ratio)
-    asked = rows.where(ask_ratio).withColumn("ratio", matched_share(tx.norm(F.col("evidence_span")), tx.norm(F.col("text"))))
-    both = plain.unionByName(asked)
+    # A span that stands in the text does so in lower case, unless it ends with a letter whose lower case depends on the next one.
+    whole = F.when((F.col("at") > 0) & ~F.col("evidence_span").contains("Σ"), True).otherwise(tx.norm(F.col("text")).contains(tx.norm(F.col("evidence_span"))))
+    rows = rows.withColumn("ratio", F.when(F.size("errors") > 0, F.lit(None).cast("double")).when(blank, 0.0).when(whole, 1.0).otherwise(-1.0))
+    asked = F.col("ratio") == -1
+    share = matched_share(F.when(asked, tx.norm(F.col("evidence_span"))), F.when(asked, tx.norm(F.col("text"))))
+    rows = rows.withColumn("ratio", F.when(asked, share).otherwise(F.col("ratio")))
     found = (F.col("at") > 0) | (F.length("evidence_span") == 0)
     extra = F.array_compact(F.array(F.when(F.col("ratio") < threshold, F.concat(F.lit("grounding "), F.format_string("%.2f", "ratio"))), F.when(~found, "evidence offset")))
-    out = both.withColumn("errors", F.concat("errors", extra))
+    out = rows.withColumn("errors", F.concat("errors", extra))
     out = out.withColumn("drop", F.when(F.size("errors") > 0, F.concat(F.lit("drop_"), F.split(F.get("errors", F.lit(0)), " ")[0])))
     start = F.when(F.col("drop").isNull(), F.col("source_start") + F.col("at") - 1)
     return out.withColumns({"evidence_start": start, "evidence_end": start + F.length("evidence_span")}).drop("at", "ratio")
@@ -230,12 +301,56 @@ def round_trip(candidates: DataFrame, reply: Column, least: float = 0.4) -> Data
     return candidates.withColumn("drop", F.coalesce("drop", F.when(bad, "drop_roundtrip"))).withColumn("roundtrip_f1", F.round(f1, 3))
 
 
+def generate(units: DataFrame, generator: Callable, verifier: Callable | None = None, config: Config = Config(), save: Callable[[DataFrame], DataFrame] = lambda df: df.persist()) -> tuple[DataFrame, DataFrame]:
+    """Candidates of units (unit_id, doc_id, section, text, source_start, source_end) by model services, checked; and every reply with its use of tokens.
+
+    generator and verifier (by default the same) are providers for `ask`. Candidates that are dropped cost no further call.
+    A unit whose call fails or whose reply can't be read has one row without a question and drop_generation; a verdict
+    or an answer that fails drops its candidate as drop_verification or drop_roundtrip. save: keeps what was
+    paid for, a checkpoint where the run is long; each of the three kinds of calls is saved once it is made.
+    """
+    verifier = verifier or generator
+    columns = ["unit_id", "doc_id", "section", "text", "source_start", "source_end"]
+    requests = units.select(*columns, fill(GENERATE, k=F.lit(config.per_unit), section=F.coalesce("section", F.lit("")), passage=F.col("text")).alias("prompt"))
+    replies = save(ask(requests, generator, columns, config.pace))
+    calls = [replies]
+    items = F.filter(F.coalesce(parse_items(F.col("reply")), F.array().cast(f"array<{ITEM}>")), lambda x: x.isNotNull())
+    failed_ = F.col("error").isNotNull() | parse_items(F.col("reply")).isNull()
+    rows = replies.withColumn("failed", failed_).select(*columns, "failed", F.posexplode_outer(items).alias("item", "x")).where("failed OR x IS NOT NULL")
+    rows = rows.select(*columns, "failed", "item", "x.*")
+    checked = check_candidates(rows.where("NOT failed").drop("failed"), config.grounding)
+    lost = rows.where("failed").drop("failed").withColumns({"errors": F.array(F.lit("generation")), "drop": F.lit("drop_generation"), "evidence_start": F.lit(None).cast("int"), "evidence_end": F.lit(None).cast("int")})
+    checked = checked.unionByName(lost)
+    key = ["unit_id", "item"]
+    for wanted, template, structured in ((config.verify, VERIFY, True), (config.round_trip, ANSWER, False)):
+        if not wanted:
+            continue
+        checked = save(checked)
+        fields = {"passage": F.col("text"), "question": F.col("question")} | ({"answer": F.col("answer")} if structured else {})
+        got = save(ask(checked.where("drop IS NULL").select(*key, fill(template, **fields).alias("prompt")), verifier, key, config.pace))
+        calls.append(got)
+        with_reply = checked.join(got.select(*key, F.col("reply").alias("__reply")), key, "left")
+        if structured:
+            verdict = F.from_json(F.regexp_extract("__reply", r"(?s)(\{.*\})", 1), VERDICT)
+            sure = F.struct(*[F.coalesce(verdict[c], F.lit(False)).alias(c) for c in ("answerable", "supported", "self_contained")], verdict["reason"].alias("reason"))
+            checked = verified(with_reply, sure).drop("__reply")
+        else:
+            checked = round_trip(with_reply, F.coalesce("__reply", F.lit("UNANSWERABLE")), config.round_trip_f1).drop("__reply")
+    used = calls[0].select("input_tokens", "output_tokens", "error")
+    for c in calls[1:]:
+        used = used.unionByName(c.select("input_tokens", "output_tokens", "error"))
+    return checked, used
+
+
 def funnel(checked: DataFrame) -> DataFrame:
     """stage, n: generated, after_deterministic_qc, kept, and each reason to drop."""
     late = F.coalesce(F.col("drop").isin("drop_verification", "drop_roundtrip"), F.lit(True))
-    stages = {"generated": F.count("*"), "after_deterministic_qc": F.count_if(F.col("drop").isNull() | late), "kept": F.count_if(F.col("drop").isNull())}
-    totals = checked.agg(*[c.alias(k) for k, c in stages.items()]).unpivot([], list(stages), "stage", "n")
-    return totals.unionByName(checked.where("drop IS NOT NULL").groupBy(F.col("drop").alias("stage")).agg(F.count("*").alias("n")))
+    # One count by reason; the stages are sums of its few rows.
+    by = checked.groupBy("drop").agg(F.count("*").alias("c"))
+    of = lambda stage, condition: F.when(condition, F.struct(F.lit(stage).alias("stage"), F.col("c").alias("n")))
+    parts = F.array_compact(F.array(of("generated", F.lit(True)), of("after_deterministic_qc", late), of("kept", F.col("drop").isNull()), F.when(F.col("drop").isNotNull(), F.struct(F.col("drop").alias("stage"), F.col("c").alias("n")))))
+    none = checked.sparkSession.range(1).select(F.explode(F.array(*[F.struct(F.lit(s).alias("stage"), F.lit(0).cast("long").alias("n")) for s in ("generated", "after_deterministic_qc", "kept")])).alias("x"))
+    return by.select(F.explode(parts).alias("x")).unionByName(none).groupBy("x.stage").agg(F.sum("x.n").alias("n"))
 
 
 def records(checked: DataFrame, sha256: Column, provenance: dict[str, str]) -> DataFrame:

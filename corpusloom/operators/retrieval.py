@@ -20,15 +20,22 @@ def index_stats(units: DataFrame) -> DataFrame:
     return size.join(t.select(F.explode("t").alias("term")).agg(F.countDistinct("term").alias("terms")))
 
 
+#: Query terms up to this number are broadcast.
+_FEW_TERMS = 1_000_000
+
+
 def scores(units: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """query_id, unit_id, score of units that share a term with a query. Only postings of the queries' terms are made; scores are rounded to 9 places, so that ties are ties."""
     q = queries.select("query_id", F.explode(F.array_distinct(tx.tokens(F.coalesce("text", F.lit(""))))).alias("term"))
+    # The empty term stands for each unit as a whole, so one pass over the texts gives postings and their statistics.
+    terms = q.select("term").unionByName(q.sparkSession.range(1).select(F.lit("").alias("term"))).distinct()
+    few = terms.limit(_FEW_TERMS + 1).count() <= _FEW_TERMS
     tokenized = units.select("unit_id", tx.tokens(F.coalesce("text", F.lit(""))).alias("t"))
-    stats = tokenized.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("mean"))
-    spread = tokenized.select("unit_id", F.size("t").alias("len"), F.explode("t").alias("term"))
-    postings = spread.join(q.select("term").distinct(), "term", "left_semi").groupBy("unit_id", "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    joined = q.join(df, "term").join(postings, "term").join(F.broadcast(stats))  # one row
+    spread = tokenized.select("unit_id", F.size("t").alias("len"), F.explode(F.concat(F.array(F.lit("")), "t")).alias("term"))
+    postings = spread.join(F.broadcast(terms) if few else terms, "term", "left_semi").groupBy("unit_id", "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
+    df = postings.groupBy("term").agg(F.count("*").alias("df"), F.avg("len").alias("mean"))
+    stats = df.where("term = ''").select(F.col("df").alias("n"), "mean")
+    joined = q.join(df.select("term", "df"), "term").join(postings, "term").join(F.broadcast(stats))  # one row
     idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.greatest("mean", F.lit(1.0))))
     return joined.groupBy("query_id", "unit_id").agg(F.round(F.sum(part), 9).alias("score"))
@@ -40,11 +47,14 @@ def top_k(units: DataFrame, queries: DataFrame, k: int = 5, **options) -> DataFr
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "unit_id")
     best = s.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     # Of the k + k first ids at least k aren't among the k best, so they fill any query.
-    spare = units.select("unit_id").orderBy("unit_id").limit(2 * k)
-    short = queries.select("query_id").distinct().join(best.groupBy("query_id").agg(F.count("*").alias("c")), "query_id", "left").where(F.coalesce("c", F.lit(0)) < k)
-    fill = short.select("query_id").join(F.broadcast(spare)).join(s.select("query_id", "unit_id"), ["query_id", "unit_id"], "left_anti").withColumn("score", F.lit(0.0))
-    both = best.drop("rank").unionByName(fill.select("query_id", "unit_id", "score"))
-    return both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "unit_id", "score")
+    spare = units.select("unit_id").distinct().orderBy("unit_id").limit(2 * k).agg(F.array_sort(F.collect_list("unit_id")).alias("spare"))
+    # A query of fewer than k has all of its units here, so the lists need nothing else.
+    lists = best.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "unit_id", "score"))).alias("best"))
+    joined = queries.select("query_id").distinct().join(lists, "query_id", "left").join(F.broadcast(spare))  # one row
+    had = F.coalesce(F.transform("best", lambda x: F.struct(x.unit_id.alias("unit_id"), x.score.alias("score"))), F.array().cast(f"array<struct<unit_id:{units.schema['unit_id'].dataType.simpleString()},score:double>>"))
+    rest = F.transform(F.filter("spare", lambda u: ~F.coalesce(F.array_contains(F.transform("best", lambda x: x.unit_id), u), F.lit(False))), lambda u: F.struct(u.alias("unit_id"), F.lit(0.0).alias("score")))
+    out = joined.select("query_id", F.posexplode(F.slice(F.concat(had, rest), 1, k)).alias("n", "x"))
+    return out.select("query_id", (F.col("n") + 1).alias("rank"), "x.unit_id", "x.score")
 
 
 def ranks(units: DataFrame, queries: DataFrame, **options) -> DataFrame:

@@ -59,27 +59,46 @@ def unanswerable(records: DataFrame) -> DataFrame:
     return _fixture(records, F.lit("unanswerable"), "unanswerable_nonce", "abstain", F.lit("the question is about a made-up name"), question=question)
 
 
-def distractor(records: DataFrame, first: int = 32) -> DataFrame:
-    """The context of the first record, by ord, of another document that doesn't hold the evidence.
+def distractor(records: DataFrame, first: int = 32, largest: int = 16 << 20) -> DataFrame:
+    """The context of the first record, by ord, of another document that doesn't hold the evidence; none where there is no such record.
 
-    Nearly all find it among the first contexts of `first` documents, a bounded list that is broadcast. Only the
-    records that don't are compared with all, a record at a time being what is kept.
+    Nearly all records find it among the first `first`, which come to each task as a list. Those that don't go on to
+    the next ones, in stretches that grow while they have less than `largest` characters. An empty span stands in every context, so
+    such records are left out at once, as are all if there is one document.
     """
     span = F.coalesce("evidence_span", "answer")
-    rows = records.select("ord", "id", "question", "context", "doc_id", span.alias("__span"))
+    rows = records.select("ord", "id", "question", "doc_id", span.alias("__span")).where("__span IS NULL OR __span <> ''")
     others = records.where(F.length("context") > 0).select(F.col("ord").alias("o"), F.col("id").alias("oid"), F.col("doc_id").alias("odoc"), F.col("context").alias("octx"))
-    few = others.orderBy("o").limit(first).agg(F.sort_array(F.collect_list(F.struct("o", "oid", "odoc", "octx"))).alias("few"), F.max("o").alias("reach"))
     fit = F.filter("few", lambda x: ~x.odoc.eqNullSafe(F.col("doc_id")) & ~F.coalesce(x.octx.contains(F.col("__span")), F.lit(False)))
-    near = rows.join(F.broadcast(few)).withColumn("pick", F.try_element_at(fit, F.lit(1)))
-    rest = near.where("pick IS NULL").drop("few", "pick")
-    fits = ~F.col("doc_id").eqNullSafe(F.col("odoc")) & ~F.coalesce(F.col("octx").contains(F.col("__span")), F.lit(False)) & (F.col("o") > F.col("reach"))
-    far = rest.join(others, fits).groupBy("ord").agg(*[F.first(c).alias(c) for c in ("id", "question")], F.min_by(F.struct("o", "oid", "odoc", "octx"), "o").alias("pick"))
-    both = near.where("pick IS NOT NULL").select("ord", "id", "question", "pick").unionByName(far)
-    return _fixture(both, F.concat(F.lit("distractor:"), F.coalesce("pick.oid", F.lit("unknown"))), "distractor_evidence", "abstain", F.lit("the evidence isn't in the other document's context"), context=F.col("pick.octx"), other=F.col("pick.oid"))
+
+    def picked(rest: DataFrame, stretch: DataFrame) -> DataFrame:
+        few = stretch.agg(F.sort_array(F.collect_list(F.struct("o", "oid", "odoc", "octx"))).alias("few"))
+        return rest.join(F.broadcast(few)).withColumn("pick", F.try_element_at(fit, F.lit(1))).drop("few")
+
+    found = picked(rows, others.orderBy("o").limit(first)).persist()
+    done, rest = found.where("pick IS NOT NULL"), found.where("pick IS NULL").drop("pick")
+    reach = others.orderBy("o").limit(first).agg(F.max("o")).first()[0]
+    size = first
+    while reach is not None and rest.limit(1).count() and others.select("odoc").distinct().limit(2).count() > 1:
+        size *= 8
+        stretch = others.where(F.col("o") > F.lit(reach)).orderBy("o").limit(size)
+        n, end, chars = stretch.agg(F.count("*"), F.max("o"), F.sum(F.length("octx"))).first()
+        if not n:
+            break
+        if chars > largest and size > 8:
+            size = max(8, int(n * largest / chars))
+            stretch = others.where(F.col("o") > F.lit(reach)).orderBy("o").limit(size)
+            end = stretch.agg(F.max("o")).first()[0]
+            size = max(1, size // 8)
+        found = picked(rest, stretch).persist()
+        done = done.unionByName(found.where("pick IS NOT NULL"))
+        rest, reach = found.where("pick IS NULL").drop("pick"), end
+    return _fixture(done, F.concat(F.lit("distractor:"), F.coalesce("pick.oid", F.lit("unknown"))), "distractor_evidence", "abstain", F.lit("the evidence isn't in the other document's context"), context=F.col("pick.octx"), other=F.col("pick.oid"))
 
 
 def build_fixtures(records: DataFrame) -> DataFrame:
     """All fixtures of records (ord, id, question, answer, context, doc_id, evidence_span), by record and kind."""
+    records = records.persist()  # read by each kind
     rank = F.array_position(F.array(*map(F.lit, ["numeric_perturbation", "entity_perturbation", "distractor_evidence", "unanswerable_nonce"])), F.col("fixture_type"))
     both = numeric(records).unionByName(entity(records)).unionByName(distractor(records)).unionByName(unanswerable(records))
     return both.orderBy("ord", rank).select(FIELDS)

@@ -60,19 +60,50 @@ def build_evidence_corpus(a) -> int:
     return 0
 
 
-def make_dataset(docs: DataFrame, config: generation.Config, run_id: str) -> tuple[DataFrame, DataFrame]:
-    """Records with ord and outcome, and the funnel of stages, of documents by the offline generator."""
+def services(a, env: dict[str, str]) -> tuple[dict, dict, dict]:
+    """Settings of the generator and of the verifier, and options for both. The verifier's model: the flag's, else LOOM_VERIFIER_MODEL, else the generator's."""
+    generator = generation.model_settings(env, "LOOM")
+    if a.temperature >= 0:
+        generator["temperature"] = a.temperature
+    model = a.verifier_model or env.get("LOOM_VERIFIER_MODEL")
+    verifier = {**generator, "model": model, "temperature": generator.get("temperature", 0.0)} if model else generator
+    # Labels are made without a hidden budget for reasoning, so that a reply is all that the model put out.
+    return generator, verifier, generation.reasoning_options("none", env.get("LOOM_EXTRA_BODY"))
+
+
+def saver(folder: str):
+    """Keeps what was paid for in tables of a folder; a run that is repeated there goes on from what it has."""
+    count = iter(range(1 << 30))
+
+    def save(df: DataFrame) -> DataFrame:
+        path = f"{folder}/step-{next(count)}"
+        spark = df.sparkSession
+        done = spark._jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
+        if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+            df.write.mode("overwrite").parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    return save
+
+
+def make_dataset(docs: DataFrame, config: generation.Config, run_id: str, generator=None, verifier=None, names: tuple[str, str] = ("offline", "offline"), save=None, options: dict | None = None) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """Records with ord and outcome, the funnel of stages, and the use of tokens, of documents by providers; without them by the offline generator, which uses none."""
     units = evidence.evidence_units(docs, config.min_chars, config.max_chars)
-    checked = generation.check_candidates(generation.offline_candidates(units), config.grounding)
-    if config.verify:
-        checked = generation.verified(checked, generation.offline_verdict())
-    if config.round_trip:
-        checked = generation.round_trip(checked, generation.offline_answer(F.col("text")), config.round_trip_f1)
+    used = None
+    if generator:
+        checked, calls = generation.generate(units, generator, verifier, config, save or (lambda df: df.persist()))
+        used = generation.usage(calls)
+    else:
+        checked = generation.check_candidates(generation.offline_candidates(units), config.grounding)
+        if config.verify:
+            checked = generation.verified(checked, generation.offline_verdict())
+        if config.round_trip:
+            checked = generation.round_trip(checked, F.col("reply"), config.round_trip_f1)
     checked = checked.persist()
     hashed = docs.select("doc_id", tx.sha256_text(F.col("text")).alias("sha"))
-    made = generation.records(checked.join(hashed, "doc_id"), F.col("sha"), generation.provenance(config, run_id, "offline", "offline"))
+    made = generation.records(checked.join(hashed, "doc_id"), F.col("sha"), generation.provenance(config, run_id, *names, options))
     ordered = made.withColumn("ord", F.struct("doc_id", "context_start", "evidence_start", "qtype"))
-    return dedup.deduplicate(_numbered(ordered), config.jaccard), generation.funnel(checked).unionByName(units.agg(F.count("*").alias("n")).select(F.lit("evidence_units").alias("stage"), "n"))
+    return dedup.deduplicate(_numbered(ordered), config.jaccard), generation.funnel(checked).unionByName(units.agg(F.count("*").alias("n")).select(F.lit("evidence_units").alias("stage"), "n")), used
 
 
 def _numbered(ordered: DataFrame) -> DataFrame:
@@ -94,13 +125,24 @@ def generate_qac(a) -> int:
         return 1
     config = generation.Config(min_chars=a.min_chars, max_chars=a.max_chars, per_unit=a.per_unit, verify=not a.no_verify, round_trip=not a.no_roundtrip, seed=a.seed, pace=a.pace)
     run_id = a.run_id or time.strftime("%Y%m%d-%H%M%S")
-    outcome, stages = make_dataset(docs, config, run_id)
+    if a.dry_run:
+        outcome, stages, used = make_dataset(docs, config, run_id)
+        names = ("offline", "offline")
+    else:
+        asked, checks, options = services(a, dict(os.environ))
+        names = (asked.get("model", "default"), checks.get("model", "default"))
+        # A verdict is structured; the answer to a question again isn't, so its provider asks for no format.
+        providers = generation.http_provider(asked, options), generation.http_provider(checks, options, structured=False)
+        outcome, stages, used = make_dataset(docs, config, run_id, *providers, names=names, save=saver(os.path.join(a.output, f"calls-{run_id}")), options=options)
     outcome = outcome.persist()
     stages = stages.unionByName(outcome.where("outcome <> 'kept'").groupBy(F.col("outcome").alias("stage")).agg(F.count("*").alias("n")))
     kept = splits.ordered(splits.split_by_document(outcome.where("outcome = 'kept'").drop("outcome"), config.train, config.dev, config.seed)).drop("ord", "turn").withColumnRenamed("place", "ord").persist()
     files.write_splits(kept, a.output)
-    report = splits.build_report(kept.withColumn("ord", F.xxhash64("split", "ord")), stages, generation.asdict(config), {"generator": "offline", "verifier": "offline"})
-    _save(os.path.join(a.output, "qac_report.json"), files.report_json(report))
+    report = splits.build_report(kept.withColumn("ord", F.xxhash64("split", "ord")), stages, generation.asdict(config), {"generator": names[0], "verifier": names[1]})
+    text = files.report_json(report)
+    if used is not None:
+        text = json.dumps(json.loads(text) | {"usage": used.first().asDict()}, indent=2, ensure_ascii=False)
+    _save(os.path.join(a.output, "qac_report.json"), text)
     return 0
 
 
@@ -123,6 +165,19 @@ def build_stress_set(a) -> int:
     return 0
 
 
+def parse_batch(a) -> int:
+    """Files through a parser, named as module:function from (path, content) to Markdown; those that fail are logged. 1 if any did."""
+    import importlib
+
+    module, _, function = a.parser.partition(":")
+    parsed = files.parse_files(_spark(), a.input, getattr(importlib.import_module(module), function), a.glob).persist()
+    stem = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*$", "")
+    files.write_markdown(parsed.where("error IS NULL").select(stem.alias("stem"), F.col("markdown").alias("text")), a.output, "")
+    bad = files.failed(parsed)
+    files.write_jsonl(bad, os.path.join(a.output, "failed"), "overwrite")
+    return int(bad.limit(1).count() > 0)
+
+
 def evaluate_bm25(a) -> int:
     spark = _spark()
 
@@ -148,10 +203,11 @@ COMMANDS = {
     "build_evidence_corpus": (build_evidence_corpus, [("--cleaned-dir", "data/cleaned"), ("--output", "outputs/evidence_corpus.jsonl"), ("--min-chars", 200), ("--max-chars", 1500)]),
     "generate_qac": (
         generate_qac,
-        [("-i", "--input", "data/cleaned"), ("-o", "--output", "outputs/qac"), ("--limit", 0), ("--per-unit", 3), ("--min-chars", 200), ("--max-chars", 1500), ("--no-verify", False), ("--no-roundtrip", False), ("--verifier-model", None), ("--seed", 42), ("--pace", 0.0), ("--temperature", 0.0), ("--dry-run", False), ("--run-id", None)],
+        [("-i", "--input", "data/cleaned"), ("-o", "--output", "outputs/qac"), ("--limit", 0), ("--per-unit", 3), ("--min-chars", 200), ("--max-chars", 1500), ("--no-verify", False), ("--no-roundtrip", False), ("--verifier-model", None), ("--seed", 42), ("--pace", 0.0), ("--temperature", -1.0), ("--dry-run", False), ("--run-id", None)],
     ),
     "validate_qac": (validate_qac, [("qac_jsonl",), ("--cleaned-dir", "data/cleaned"), ("--report", None)]),
     "build_stress_set": (build_stress_set, [("qac_jsonl",), ("--output", ...)]),
+    "parse_batch": (parse_batch, [("-i", "--input", "data/files"), ("-o", "--output", "data/markdown"), ("--parser", ...), ("--glob", "*")]),
     "evaluate_bm25": (evaluate_bm25, [("qac_jsonl",), ("--corpus", None), ("--report", ...)]),
     "preflight_experiment": (preflight_experiment, [("--qac", ...), ("--corpus", ...), ("--run-id", ...), ("--report", ...), ("--budget-usd", 0.0)]),
 }

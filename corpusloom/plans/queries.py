@@ -112,7 +112,7 @@ def block_stats(spark, d):
     return b.groupBy("is_heading").agg(F.count("*").alias("n"), F.sum(F.length("block")).alias("chars"))
 
 
-_ASCII = "regexp_replace(substr(text, 1, 60), '[^ -~]', ' '{g})"
+_ASCII = "regexp_replace(text, '[^ -~]', ' '{g})"
 _HEADING = "concat('## ', doc_id % 7, '.', doc_id % 3, ' ', CASE WHEN doc_id % 2 = 0 THEN 'IV) ' ELSE 'x$y^2$ ' END, {ascii})"
 
 
@@ -121,7 +121,7 @@ def heading_norm(spark, d):
     return docs.select("doc_id", cleaning.normalise_heading(F.col("h")).alias("norm"))
 
 
-_CITED = "concat(CASE WHEN doc_id % 4 = 0 THEN '[1] ' ELSE '' END, substr(text, 1, 30), CASE WHEN doc_id % 3 = 1 THEN ' 2009, 323, 1708' ELSE '' END, CASE WHEN doc_id % 5 < 2 THEN ' 124, 201109 (2006)' ELSE '' END, CASE WHEN doc_id % 2 = 0 THEN ' [2] 1998, 3, 4' ELSE '' END)"
+_CITED = "concat(CASE WHEN doc_id % 4 = 0 THEN '[1] ' ELSE '' END, text, CASE WHEN doc_id % 3 = 1 THEN ' 2009, 323, 1708' ELSE '' END, CASE WHEN doc_id % 5 < 2 THEN ' 124, 201109 (2006)' ELSE '' END, CASE WHEN doc_id % 2 = 0 THEN ' [2] 1998, 3, 4' ELSE '' END)"
 
 
 def ref_block_flags(spark, d):
@@ -183,8 +183,12 @@ _CLEANED_SQL = f"{_CLEAN_SQL}, c AS (SELECT m.doc_id, concat(trim(coalesce(strin
 # ---- evidence and manifest
 
 
+#: Documents with headings: one at the top, and in every third before each paragraph.
+_SECTIONS = "concat('# Study ', doc_id, chr(10), chr(10), replace(coalesce(text, ''), chr(10), concat(chr(10), chr(10), CASE WHEN doc_id % 3 = 0 THEN concat('## Part', chr(10), chr(10)) ELSE '' END)))"
+
+
 def _paragraphs(spark, d):
-    return _read(spark, d, "documents").select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))
+    return _read(spark, d, "documents").select("doc_id", F.expr(_SECTIONS).alias("text"))
 
 
 def evidence_units(spark, d):
@@ -206,6 +210,33 @@ def license_counts(spark, d):
     return manifest.manifest_summary(source_manifest(spark, d))
 
 
+_BLANK = "concat(chr(32), chr(9), chr(10), chr(13))"
+#: Paragraphs are gone through in order; a unit's number is settled when it is closed. Then units are looked up in the text one after the other.
+_EVIDENCE_SQL = f"""
+WITH RECURSIVE md AS (SELECT doc_id, {_SECTIONS} AS t FROM documents),
+i0 AS (SELECT doc_id, p, n FROM (SELECT doc_id, unnest(x) AS p, unnest(range(len(x))) AS n FROM (SELECT doc_id, list_transform(string_split_regex(t, '\\n\\s*\\n'), lambda y: trim(y, {_BLANK})) AS x FROM md)) WHERE p <> ''),
+i1 AS (SELECT *, CASE WHEN regexp_matches(p, '^#{{1,6}}\\s+') AND NOT contains(p, chr(10)) THEN trim(regexp_replace(p, '^#{{1,6}}\\s+', ''), {_BLANK}) END AS h FROM i0),
+i2 AS (SELECT * FROM i1 WHERE h IS NOT NULL OR NOT (len(regexp_extract_all(p, '\\[[a-z]{{1,2}}\\]|\\\\\\*')) >= 3 AND len(regexp_extract_all(p, '\\. |\\.\\n')) <= 1)),
+it AS (SELECT doc_id, p, h, h IS NOT NULL AS edge, length(p) AS len, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS k FROM (SELECT * FROM i2 UNION ALL SELECT doc_id, '' AS p, 1000000 AS n, '' AS h FROM md)),
+st AS (
+  SELECT doc_id, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS o, 0 AS held, CAST(0 AS BIGINT) AS size, 'Front matter' AS sec, CAST(0 AS BIGINT) AS done, CAST(NULL AS VARCHAR) AS last, CAST(NULL AS BIGINT) AS closed, CAST(NULL AS BIGINT) AS unit FROM md
+  UNION ALL
+  SELECT s.doc_id, it.k, CASE WHEN NOT it.edge AND (s.held = 0 OR s.size + 2 + it.len > 1500) THEN s.o + 1 ELSE s.o END, CASE WHEN it.edge THEN 0 ELSE 1 END,
+    CASE WHEN it.edge THEN 0 WHEN s.held = 0 OR s.size + 2 + it.len > 1500 THEN it.len ELSE s.size + 2 + it.len END, CASE WHEN it.edge THEN it.h ELSE s.sec END,
+    CASE WHEN s.held = 1 AND ((it.edge AND NOT (s.size < 200 AND s.done > 0 AND s.last = s.sec)) OR (NOT it.edge AND s.size + 2 + it.len > 1500)) THEN s.done + 1 ELSE s.done END,
+    CASE WHEN s.held = 1 AND ((it.edge AND NOT (s.size < 200 AND s.done > 0 AND s.last = s.sec)) OR (NOT it.edge AND s.size + 2 + it.len > 1500)) THEN s.sec ELSE s.last END,
+    CASE WHEN s.held = 1 AND (it.edge OR s.size + 2 + it.len > 1500) THEN s.o END,
+    CASE WHEN s.held = 1 AND it.edge AND s.size < 200 AND s.done > 0 AND s.last = s.sec THEN s.done WHEN s.held = 1 AND (it.edge OR s.size + 2 + it.len > 1500) THEN s.done + 1 END
+  FROM st s JOIN it ON it.doc_id = s.doc_id AND it.k = s.k + 1),
+un AS (SELECT it.doc_id, c.unit, min_by(a.sec, it.k) AS section, string_agg(it.p, chr(10) || chr(10) ORDER BY it.k) AS text FROM it JOIN st a ON a.doc_id = it.doc_id AND a.k = it.k JOIN st c ON c.doc_id = it.doc_id AND c.closed = a.o WHERE NOT it.edge GROUP BY it.doc_id, c.unit),
+uk AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY unit) AS k FROM un WHERE length(text) >= 200),
+pl AS (
+  SELECT doc_id, CAST(0 AS BIGINT) AS k, CAST(1 AS BIGINT) AS at, CAST(0 AS BIGINT) AS start FROM md
+  UNION ALL
+  SELECT p.doc_id, u.k, CASE WHEN instr(substr(md.t, p.at), u.text) = 0 THEN p.at ELSE p.at - 1 + instr(substr(md.t, p.at), u.text) + length(u.text) END, CASE WHEN instr(substr(md.t, p.at), u.text) = 0 THEN 0 ELSE p.at - 1 + instr(substr(md.t, p.at), u.text) END
+  FROM pl p JOIN uk u ON u.doc_id = p.doc_id AND u.k = p.k + 1 JOIN md ON md.doc_id = p.doc_id),
+corpus AS (SELECT printf('%s:unit:%04d', CAST(doc_id AS VARCHAR), row_number() OVER (PARTITION BY doc_id ORDER BY k)) AS evidence_unit_id, doc_id, section, text AS context, CAST(start - 1 AS INTEGER) AS context_start, CAST(start - 1 + length(text) AS INTEGER) AS context_end, sha256(md.t) AS source_sha256
+  FROM pl JOIN uk USING (doc_id, k) JOIN md USING (doc_id) WHERE start > 0)"""
 _MANIFEST_SQL = """
 WITH m0 AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, text AS rt, CASE WHEN doc_id % 3 <> 0 THEN text END AS ct FROM documents),
 m1 AS (SELECT *, concat(rt, chr(10), coalesce(ct, '')) AS both_texts FROM m0),
@@ -237,13 +268,60 @@ def hygiene_flags(spark, d):
 def _checked(spark, d):
     c = generation.check_candidates(generation.offline_candidates(_unit_rows(spark, d)))
     c = generation.verified(c, generation.offline_verdict())
-    return generation.round_trip(c, generation.offline_answer(F.col("text")))
+    return generation.round_trip(c, F.col("reply"))
 
 
 def qc_funnel(spark, d):
     return generation.funnel(_checked(spark, d))
 
 
+def _provided(spark, d):
+    """Candidates by the offline provider, with spans that are altered by rule and a verifier that objects by rule."""
+    import json
+
+    import pandas as pd
+
+    offline = generation.offline_provider
+
+    def generator(prompts):
+        out = offline(prompts)
+
+        def alter(reply):
+            items = json.loads(reply)["items"]
+            for x in items:
+                n = len(x["answer"])
+                x["evidence_span"] = x["answer"] + "\u2042" * n if n % 7 == 3 else x["answer"] + "\u2042" if n % 7 == 0 else x["answer"]
+            return json.dumps({"items": items}, ensure_ascii=False)
+
+        out["reply"] = [alter(r) for r in out["reply"]]
+        return out
+
+    def verifier(prompts):
+        out = offline(prompts)
+        answers = [p.rsplit("\nAnswer: ", 1)[1] if p.startswith("Say") else None for p in prompts]
+        out["reply"] = pd.Series([r if a is None or len(a) % 5 else r.replace('"supported": true', '"supported": false') for r, a in zip(out["reply"], answers)])
+        return out
+
+    units = _unit_rows(spark, d).where("text IS NOT NULL")
+    return generation.generate(units, _by_value(generator), _by_value(verifier))
+
+
+def _by_value(f):
+    """A function that workers take whole, so that they needn't have this package."""
+    from pyspark import cloudpickle
+
+    packed = cloudpickle.dumps(f)
+    return lambda prompts: cloudpickle.loads(packed)(prompts)
+
+
+def provider_funnel(spark, d):
+    return generation.funnel(_provided(spark, d)[0])
+
+
+def provider_usage(spark, d):
+    return generation.usage(_provided(spark, d)[1]).select("calls")
+
+
 def token_f1_pairs(spark, d):
     turns = _read(spark, d, "conversations").select("conv_id", "turn", tx.content_tokens(F.coalesce("text", F.lit(""))).alias("t"))
     after = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("t").alias("u"))
@@ -292,8 +370,18 @@ fu AS (SELECT *, CASE WHEN errors <> '' THEN 'drop_' || regexp_extract(errors, '
 
 
 def _questions(spark, d):
-    c = _read(spark, d, "conversations").where("text IS NOT NULL")
-    return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("ord"), F.col("text").alias("question"))
+    c = _read(spark, d, "conversations")
+    return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("ord"), F.coalesce("text", F.lit("")).alias("question"))
+
+
+#: Each turn, and of every second conversation a second form of it with a word more, so that there are near ones.
+_ASKED = """SELECT (conv_id * 1000 + turn) * 2 AS ord, coalesce(text, '') AS question FROM {conversations}
+  UNION ALL SELECT (conv_id * 1000 + turn) * 2 + 1, concat(coalesce(text, ''), CASE WHEN turn % 3 = 0 THEN '' ELSE concat(' variant', turn) END) FROM {conversations} WHERE conv_id % 2 = 0"""
+
+
+def _asked(spark, d):
+    _read(spark, d, "conversations").createOrReplaceTempView("loom_conversations")
+    return spark.sql(_ASKED.format(conversations="loom_conversations"))
 
 
 def exact_dedup(spark, d):
@@ -301,11 +389,11 @@ def exact_dedup(spark, d):
 
 
 def near_dup_pairs(spark, d):
-    return dedup.near_pairs(_questions(spark, d)).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
+    return dedup.near_pairs(_asked(spark, d)).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
 
 
 def near_dedup(spark, d):
-    return dedup.deduplicate(_questions(spark, d)).select("ord", "outcome")
+    return dedup.deduplicate(_asked(spark, d)).select("ord", "outcome")
 
 
 def _hash_split(spark, d):
@@ -329,9 +417,9 @@ def distribution(spark, d):
 
 # ---- validation, stress, judging
 
-_TAMPERED = """SELECT doc_id, text, named_struct('question', 'q', 'answer', 'a', 'context', IF(doc_id % 6 = 1, 'other', substring(text, 3, 100)), 'doc_id', IF(doc_id % 11 = 4, -1, doc_id), 'evidence_unit_id', 'u',
-  'context_start', IF(doc_id % 6 = 2, -1, 2), 'context_end', 2 + length(substring(text, 3, 100)), 'evidence_span', IF(doc_id % 6 = 3, 'x', substring(text, 5, 10)),
-  'evidence_start', IF(doc_id % 6 = 4, 0, 4), 'evidence_end', IF(doc_id % 6 = 4, 10, 4 + length(substring(text, 5, 10))), 'source_sha256', IF(doc_id % 7 = 5, 'bad', sha2(text, 256))) AS record FROM {view}"""
+_TAMPERED = """SELECT doc_id, text, named_struct('question', 'q', 'answer', 'a', 'context', IF(doc_id % 6 = 1, 'other', substring(text, 3)), 'doc_id', IF(doc_id % 11 = 4, -1, doc_id), 'evidence_unit_id', 'u',
+  'context_start', IF(doc_id % 6 = 2, -1, 2), 'context_end', 2 + length(substring(text, 3)), 'evidence_span', IF(doc_id % 6 = 3, 'x', substring(text, 5)),
+  'evidence_start', IF(doc_id % 6 = 4, 0, 4), 'evidence_end', IF(doc_id % 6 = 4, length(text) - 4, 4 + length(substring(text, 5))), 'source_sha256', IF(doc_id % 7 = 5, 'bad', sha2(text, 256))) AS record FROM {view}"""
 
 
 def validate_provenance(spark, d):
@@ -353,9 +441,7 @@ def stress_numeric(spark, d):
 
 
 def stress_entity(spark, d):
-    # In ASCII, since word borders are Unicode here and ASCII in the SQL.
-    r = _stress_records(spark, d).withColumns({c: F.regexp_replace(c, "[^\\x00-\\x7F]", "e") for c in ("answer", "context")})
-    return stress.entity(r).select("ord", "fixture_id", "candidate_answer", "rule")
+    return stress.entity(_ascii(_stress_records(spark, d))).select("ord", "fixture_id", "candidate_answer", "rule")
 
 
 def stress_nonce(spark, d):
@@ -366,8 +452,13 @@ def stress_distractor(spark, d):
     return stress.distractor(_stress_records(spark, d)).select("ord", "fixture_id", "distractor_qac_id", "expected_outcome")
 
 
+def _ascii(r):
+    """In ASCII, since word borders are Unicode here and ASCII in the SQL."""
+    return r.withColumns({c: F.regexp_replace(c, "[^\\x00-\\x7F]", "e") for c in ("answer", "context")})
+
+
 def fixture_counts(spark, d):
-    r = _stress_records(spark, d)
+    r = _ascii(_stress_records(spark, d))
     return stress.fixture_counts(stress.build_fixtures(r))
 
 
@@ -390,7 +481,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         bm25_top5, bm25_index_stats, truth_ranks, ir_metrics, rrf_hybrid, block_stats, clean_documents, clean_rule_counts, clean_report, heading_norm, ref_block_flags, evidence_units, evidence_summary, source_manifest, license_counts,
-        offline_candidates, hygiene_flags, qc_funnel, token_f1_pairs, records, exact_dedup, near_dup_pairs, near_dedup, split_assignment, leakage_max_jaccard, distribution, validate_provenance, stress_numeric, stress_entity, stress_nonce, stress_distractor,
+        offline_candidates, hygiene_flags, qc_funnel, provider_funnel, provider_usage, token_f1_pairs, records, exact_dedup, near_dup_pairs, near_dedup, split_assignment, leakage_max_jaccard, distribution, validate_provenance, stress_numeric, stress_entity, stress_nonce, stress_distractor,
         fixture_counts, judge_validity, metric_unpivot,
     )
 }
@@ -398,6 +489,21 @@ QUERIES = {
 _SPLIT_SQL = "CASE WHEN doc_id % 10 < 7 THEN 'train' WHEN doc_id % 10 = 7 THEN 'dev' ELSE 'test' END"
 _NUM = "'\\b\\d+(?:\\.\\d+)?\\b'"
 _DIST_COLUMNS = f"count(*) AS n, count(DISTINCT doc_id) AS documents, round(avg({_words_sql('question')}), 1) AS mean_question_words, round(avg({_words_sql('answer')}), 1) AS mean_answer_words"
+#: The first record of another document without the evidence: all pairs but few, since a record's first fit is soon found.
+_DISTRACTOR_SQL = """r AS (SELECT doc_id, doc_id * 10 + item AS ord, concat('q-', doc_id, '-', item) AS id, text, answer FROM cq),
+ p AS (SELECT a.ord, a.id, b.id AS oid FROM r a, LATERAL (SELECT arg_min(b.id, b.ord) AS id FROM r b WHERE a.doc_id <> b.doc_id AND NOT contains(b.text, a.answer)) b WHERE b.id IS NOT NULL)"""
+_NEAR_SQL = f"""q AS ({_ASKED.format(conversations="conversations")}), s AS (SELECT ord, {_content_sql("question")} AS t, md5(trim(regexp_replace(lower(question), '\\s+', ' ', 'g'))) AS key FROM q),
+ e AS (SELECT ord, len(t) AS n, unnest(t) AS w FROM s), p AS (SELECT a.ord AS a, b.ord AS b, count(*) AS c, any_value(a.n) AS x, any_value(b.n) AS y FROM e a JOIN e b ON a.w = b.w AND a.ord < b.ord GROUP BY a.ord, b.ord),
+ pairs AS (SELECT a, b, c / (x + y - c) AS jaccard FROM p WHERE c / (x + y - c) >= 0.8)"""
+#: Through the first forms of questions that have near ones before them, in order, with the list of those dropped so far.
+_GREEDY_SQL = """f AS (SELECT min(ord) AS ord, key FROM s GROUP BY key),
+ adj AS (SELECT pairs.b AS ord, list(pairs.a) AS near, row_number() OVER (ORDER BY pairs.b) AS i FROM pairs WHERE pairs.a IN (SELECT ord FROM f) AND pairs.b IN (SELECT ord FROM f) GROUP BY pairs.b),
+ g AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS gone UNION ALL SELECT adj.i, CASE WHEN list_has_all(g.gone, adj.near) THEN g.gone ELSE list_append(g.gone, adj.ord) END FROM g JOIN adj ON adj.i = g.i + 1),
+ k AS (SELECT unnest(gone) AS ord FROM (SELECT gone FROM g ORDER BY i DESC LIMIT 1))
+ SELECT s.ord, CASE WHEN f.ord IN (SELECT ord FROM k) THEN 'dedup_near' WHEN s.ord = f.ord THEN 'kept' ELSE 'dedup_exact' END AS outcome FROM s JOIN f USING (key)"""
+#: What the providers of the query do to candidates.
+_PROVIDER_SQL = f"""pr AS (SELECT *, CASE WHEN errors <> '' THEN 'drop_' || regexp_extract(errors, '^[^ ,]+') WHEN length(answer) % 7 = 3 THEN 'drop_grounding' WHEN length(answer) % 7 = 0 THEN 'drop_evidence'
+  WHEN length(answer) % 5 = 0 THEN 'drop_verification' WHEN {_f1_sql("ta", "tr")} < 0.4 THEN 'drop_roundtrip' END AS why FROM hy)"""
 _ENT = "\\b[A-Za-z][A-Za-z0-9-]{2,}\\b"
 
 ORACLES = {
@@ -420,27 +526,34 @@ ORACLES = {
     "qc_funnel": f"WITH {_CAND_SQL}, {_HYGIENE_SQL} SELECT 'generated' AS stage, count(*) AS n FROM fu UNION ALL SELECT 'after_deterministic_qc', count(*) FROM fu WHERE errors = '' UNION ALL SELECT 'kept', count(*) FROM fu WHERE reason IS NULL UNION ALL SELECT reason, count(*) FROM fu WHERE reason IS NOT NULL GROUP BY reason",
     "records": f"WITH {_CAND_SQL}, {_HYGIENE_SQL} SELECT doc_id, question, answer, CAST(instr(text, answer) - 1 AS INTEGER) AS evidence_start, CAST(instr(text, answer) - 1 + length(answer) AS INTEGER) AS evidence_end, CASE WHEN item = 0 THEN 'factoid' ELSE 'reasoning' END AS qtype, sha256(text) AS source_sha256, round({_f1_sql('ta', 'tr')}, 3) AS roundtrip_f1 FROM fu WHERE reason IS NULL",
     "token_f1_pairs": f"WITH c AS (SELECT conv_id, turn, {_content_sql('coalesce(text, chr(32))')} AS t FROM conversations) SELECT a.conv_id, a.turn, round({_f1_sql('a.t', 'b.t')}, 6) AS f1 FROM c a JOIN c b ON a.conv_id = b.conv_id AND a.turn + 1 = b.turn",
-    "exact_dedup": "SELECT ord, key, row_number() OVER (PARTITION BY key ORDER BY ord) > 1 AS exact FROM (SELECT conv_id * 1000 + turn AS ord, md5(trim(regexp_replace(lower(text), '\\s+', ' ', 'g'))) AS key FROM conversations WHERE text IS NOT NULL)",
-    "near_dup_pairs": f"WITH s AS (SELECT conv_id * 1000 + turn AS ord, {_content_sql('text')} AS t FROM conversations WHERE text IS NOT NULL), e AS (SELECT ord, len(t) AS n, unnest(t) AS w FROM s), p AS (SELECT a.ord AS a, b.ord AS b, count(*) AS c, any_value(a.n) AS x, any_value(b.n) AS y FROM e a JOIN e b ON a.w = b.w AND a.ord < b.ord GROUP BY a.ord, b.ord) SELECT a, b, round(c / (x + y - c), 6) AS jaccard FROM p WHERE c / (x + y - c) >= 0.8",
+    "evidence_units": f"{_EVIDENCE_SQL} SELECT * FROM corpus",
+    "evidence_summary": f"{_EVIDENCE_SQL} SELECT count(DISTINCT doc_id) AS documents, count(*) AS units FROM corpus",
+    "provider_funnel": f"WITH {_CAND_SQL}, {_HYGIENE_SQL}, {_PROVIDER_SQL} SELECT 'generated' AS stage, count(*) AS n FROM pr UNION ALL SELECT 'after_deterministic_qc', count(*) FROM pr WHERE why IS NULL OR why IN ('drop_verification', 'drop_roundtrip') UNION ALL SELECT 'kept', count(*) FROM pr WHERE why IS NULL UNION ALL SELECT why, count(*) FROM pr WHERE why IS NOT NULL GROUP BY why",
+    "provider_usage": f"WITH {_CAND_SQL}, {_HYGIENE_SQL}, {_PROVIDER_SQL} SELECT (SELECT count(*) FROM documents WHERE text IS NOT NULL) + (SELECT count(*) FROM pr WHERE why IS NULL OR why IN ('drop_verification', 'drop_roundtrip')) + (SELECT count(*) FROM pr WHERE why IS NULL OR why = 'drop_roundtrip') AS calls",
+    "near_dedup": f"WITH RECURSIVE {_NEAR_SQL}, {_GREEDY_SQL}",
+    "exact_dedup": "SELECT ord, key, row_number() OVER (PARTITION BY key ORDER BY ord) > 1 AS exact FROM (SELECT conv_id * 1000 + turn AS ord, md5(trim(regexp_replace(lower(coalesce(text, '')), '\\s+', ' ', 'g'))) AS key FROM conversations)",
+    "near_dup_pairs": f"WITH {_NEAR_SQL} SELECT a, b, round(jaccard, 6) AS jaccard FROM pairs",
     "leakage_max_jaccard": f"""WITH {_CAND_SQL}, q AS (SELECT doc_id * 10 + item AS ord, doc_id, {_SPLIT_SQL} AS split, regexp_extract_all(lower(question), '[a-z0-9]+') AS w FROM cq),
  g AS (SELECT ord, split, list_distinct(list_transform(range(1, len(w) - 1), lambda i: concat_ws(' ', w[i], w[i + 1], w[i + 2]))) AS s FROM q), e AS (SELECT ord, split, len(s) AS n, unnest(s) AS t FROM g),
  p AS (SELECT count(*) AS c, any_value(a.n) AS x, any_value(b.n) AS y FROM e a JOIN e b ON a.t = b.t WHERE a.split = 'train' AND b.split <> 'train' GROUP BY a.ord, b.ord)
  SELECT CAST(0 AS BIGINT) AS train_dev, CAST(0 AS BIGINT) AS train_test, CAST(0 AS BIGINT) AS dev_test, round(coalesce((SELECT max(c / (x + y - c)) FROM p), 0.0), 4) AS max_question_jaccard""",
     "distribution": f"""WITH {_CAND_SQL}, q AS (SELECT doc_id, question, answer, {_SPLIT_SQL} AS split, CASE WHEN item = 0 THEN 'factoid' ELSE 'reasoning' END AS qtype, CASE WHEN item = 0 THEN 'easy' ELSE 'medium' END AS difficulty FROM cq)
  SELECT split, 'total' AS kind, '' AS value, {_DIST_COLUMNS} FROM q GROUP BY split UNION ALL SELECT split, 'qtype', qtype, {_DIST_COLUMNS} FROM q GROUP BY split, qtype UNION ALL SELECT split, 'difficulty', difficulty, {_DIST_COLUMNS} FROM q GROUP BY split, difficulty""",
-    "validate_provenance": """WITH v AS (SELECT *, substr(text, 3, 100) AS ctx, substr(text, 5, 10) AS ev FROM documents WHERE length(text) > 20),
+    "validate_provenance": """WITH v AS (SELECT *, substr(text, 3) AS ctx, substr(text, 5) AS ev FROM documents WHERE length(text) > 20),
  src AS (SELECT v.*, s.text AS st FROM v LEFT JOIN v s ON s.doc_id = CASE WHEN v.doc_id % 11 = 4 THEN -1 ELSE v.doc_id END)
  SELECT doc_id AS row, CASE WHEN st IS NULL THEN 'missing_source' ELSE concat_ws(',', CASE WHEN doc_id % 7 = 5 THEN 'source_sha256' END, CASE WHEN doc_id % 6 = 2 THEN 'context_offsets' WHEN doc_id % 6 = 1 THEN 'context_text' END,
-   CASE WHEN doc_id % 6 = 3 AND ev <> 'x' THEN 'evidence_text' WHEN doc_id % 6 = 4 AND substr(text, 1, 10) <> ev THEN 'evidence_text' WHEN doc_id % 6 = 4 THEN 'evidence_outside_context' END) END AS errors FROM src""",
+   CASE WHEN doc_id % 6 = 3 AND ev <> 'x' THEN 'evidence_text' WHEN doc_id % 6 = 4 AND substr(text, 1, length(text) - 4) <> ev THEN 'evidence_text' WHEN doc_id % 6 = 4 THEN 'evidence_outside_context' END) END AS errors FROM src""",
     "stress_numeric": f"""WITH {_CAND_SQL}, n AS (SELECT *, regexp_extract(answer, {_NUM}) AS v FROM cq WHERE regexp_matches(answer, {_NUM})),
  m AS (SELECT *, regexp_replace(regexp_replace(CAST(CAST(v AS DOUBLE) + 1 AS VARCHAR), '(\\.\\d*?)0+$', '\\1'), '\\.$', '') AS w FROM n)
  SELECT doc_id * 10 + item AS ord, concat('q-', doc_id, '-', item, ':numeric') AS fixture_id, regexp_replace(answer, {_NUM}, w) AS candidate_answer, 'reject' AS expected_outcome, concat('number ', v, ' became ', w) AS rule FROM m""",
     "stress_entity": f"""WITH {_CAND_SQL}, z AS (SELECT doc_id, item, regexp_replace(answer, '[^\\x00-\\x7F]', 'e', 'g') AS answer, regexp_replace(text, '[^\\x00-\\x7F]', 'e', 'g') AS text FROM cq), n AS (SELECT *, list_filter(regexp_extract_all(answer, '{_ENT}'), lambda x: lower(x) NOT IN ('the', 'and', 'was', 'with', 'for') AND contains(text, x))[1] AS v FROM z)
  SELECT doc_id * 10 + item AS ord, concat('q-', doc_id, '-', item, ':entity') AS fixture_id, regexp_replace(answer, concat('\\b', v, '\\b'), concat('{stress.MARK}-ENTITY-', substr(sha256(v), 1, 8))) AS candidate_answer, concat('entity ', v, ' became a made-up word') AS rule FROM n WHERE v IS NOT NULL""",
     "stress_nonce": f"WITH {_CAND_SQL} SELECT doc_id * 10 + item AS ord, concat('q-', doc_id, '-', item, ':unanswerable') AS fixture_id, concat('Which value does the source give for {stress.MARK}-CONTROL-', substr(sha256(concat('q-', doc_id, '-', item)), 1, 12), '?') AS question, 'abstain' AS expected_outcome FROM cq",
-    "stress_distractor": f"""WITH {_CAND_SQL}, r AS (SELECT doc_id, doc_id * 10 + item AS ord, concat('q-', doc_id, '-', item) AS id, text, answer FROM cq),
- f AS (SELECT * FROM r ORDER BY ord LIMIT 200), p AS (SELECT a.ord, a.id, arg_min(b.id, b.ord) AS oid FROM r a JOIN f b ON a.doc_id <> b.doc_id AND NOT contains(b.text, a.answer) GROUP BY a.ord, a.id)
- SELECT ord, concat(id, ':distractor:', oid) AS fixture_id, oid AS distractor_qac_id, 'abstain' AS expected_outcome FROM p""",
+    "stress_distractor": f"WITH {_CAND_SQL}, {_DISTRACTOR_SQL} SELECT ord, concat(id, ':distractor:', oid) AS fixture_id, oid AS distractor_qac_id, 'abstain' AS expected_outcome FROM p",
+    "fixture_counts": f"""WITH {_CAND_SQL}, {_DISTRACTOR_SQL}, z AS (SELECT regexp_replace(answer, '[^\\x00-\\x7F]', 'e', 'g') AS answer, regexp_replace(text, '[^\\x00-\\x7F]', 'e', 'g') AS text FROM cq), f AS (
+ SELECT 'numeric_perturbation' AS fixture_type FROM z WHERE regexp_matches(answer, {_NUM}) UNION ALL SELECT 'unanswerable_nonce' FROM z UNION ALL SELECT 'distractor_evidence' FROM p
+ UNION ALL SELECT 'entity_perturbation' FROM z WHERE len(list_filter(regexp_extract_all(answer, '{_ENT}'), lambda x: lower(x) NOT IN ('the', 'and', 'was', 'with', 'for') AND contains(text, x))) > 0)
+ SELECT fixture_type, count(*) AS n FROM f GROUP BY fixture_type""",
     "judge_validity": "SELECT event_id, CASE event_id % 4 WHEN 0 THEN event_id % 3 = 0 AND event_id % 5 <> 0 AND user_id % 2 = 0 WHEN 1 THEN true WHEN 2 THEN event_id % 3 <> 0 ELSE false END AS valid FROM events",
     "metric_unpivot": " UNION ALL ".join(f"SELECT event_type AS chunk_size, '{m.replace('_', ' ').title()}' AS metric, round(avg(value / {k}) FILTER (event_id % {k} <> 0), 6) AS score FROM events GROUP BY event_type" for k, m in enumerate(retrieval.METRICS, 3)),
 }

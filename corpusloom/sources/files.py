@@ -55,14 +55,14 @@ def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.write.mode(mode).option("header", True).csv(path)
 
 
-def write_markdown(cleaned: DataFrame, folder: str) -> None:
-    """stem, text to files <stem>_cleaned.md in a folder that all executors share. A table is the usual sink; this is for export."""
+def write_markdown(cleaned: DataFrame, folder: str, suffix: str = "_cleaned") -> None:
+    """stem, text to files <stem><suffix>.md in a folder that all executors share. A table is the usual sink; this is for export."""
 
     def save(rows) -> None:
         import pathlib
 
         for row in rows:
-            pathlib.Path(folder, f"{row.stem}_cleaned.md").write_text(row.text, encoding="utf-8")
+            pathlib.Path(folder, f"{row.stem}{suffix}.md").write_text(row.text, encoding="utf-8")
 
     import os
 

@@ -1,9 +1,11 @@
 """Operators against sequential models written from their description, and their edge cases."""
 
 import difflib
+import http.server
 import json
 import random
 import re
+import threading
 
 import pytest
 from pyspark.sql import Row
@@ -321,7 +323,7 @@ def test_commands(spark, tmp_path):
     assert len(list(clean.glob("*_cleaned.md"))) == 6 and "References" not in (clean / "d0_cleaned.md").read_text()
     assert run(["build_source_manifest", "--raw-dir", str(raw), "--cleaned-dir", str(clean), "--output", str(out / "m")]) == 0
     assert run(["build_evidence_corpus", "--cleaned-dir", str(clean), "--output", str(out / "e"), "--min-chars", "50"]) == 0
-    assert run(["generate_qac", "-i", str(clean), "-o", str(out / "qac"), "--min-chars", "50", "--run-id", "r"]) == 0
+    assert run(["generate_qac", "-i", str(clean), "-o", str(out / "qac"), "--min-chars", "50", "--run-id", "r", "--dry-run"]) == 0
     report = json.loads((out / "qac" / "qac_report.json").read_text())
     assert report["funnel"]["evidence_units"] == 6 and sum(report["splits"].values()) > 0
     everything = str(out / "qac" / "qac_all")
@@ -336,6 +338,100 @@ def test_commands(spark, tmp_path):
     assert run(["generate_qac", "-i", str(empty), "-o", str(out / "none")]) == 1
 
 
+class Service(http.server.BaseHTTPRequestHandler):
+    """A chat service that replies by the offline rules, objects to one verdict, and is busy at first."""
+
+    seen: list = []
+
+    def do_POST(self):  # noqa: N802
+        import pandas as pd
+
+        body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+        Service.seen.append(body)
+        if len(Service.seen) == 1:
+            self.send_response(429)
+            self.send_header("Retry-After", "0")
+            self.end_headers()
+            return
+        prompt = body["messages"][0]["content"]
+        reply = generation.offline_provider(pd.Series([prompt])).reply[0]
+        if prompt.startswith("Say") and "Sample 0 number 0" in prompt.rsplit("Answer:", 1)[1]:
+            reply = reply.replace('"answerable": true', '"answerable": false')
+        data = json.dumps({"choices": [{"message": {"content": reply}}], "usage": {"prompt_tokens": 7, "completion_tokens": 3}}).encode()
+        self.send_response(200)
+        self.send_header("Content-Length", str(len(data)))
+        self.end_headers()
+        self.wfile.write(data)
+
+    def log_message(self, *args):
+        pass
+
+
+def test_generation_by_a_service(spark, tmp_path, monkeypatch):
+    clean, out = tmp_path / "clean", tmp_path / "qac"
+    clean.mkdir()
+    for k in range(4):
+        sentences = " ".join(f"Sample {k} number {n} was heated to {n + 20 + k} degrees under argon for hours." for n in range(8))
+        (clean / f"d{k}_cleaned.md").write_text(f"# Paper {k}\n\n{sentences}", encoding="utf-8")
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Service)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    for name, value in {"BASE_URL": f"http://127.0.0.1:{server.server_port}", "API_KEY": "k", "MODEL": "one"}.items():
+        monkeypatch.setenv(f"LOOM_{name}", value)
+    Service.seen.clear()
+    call = ["generate_qac", "-i", str(clean), "-o", str(out), "--min-chars", "50", "--run-id", "r", "--verifier-model", "two", "--temperature", "0.5", "--pace", "0.01"]
+    assert commands.main(call) == 0
+    report = json.loads((out / "qac_report.json").read_text())
+    assert report["funnel"]["generated"] == 8 and report["funnel"]["drop_verification"] == 1 and report["funnel"]["kept"] + report["funnel"].get("drop_roundtrip", 0) == 7
+    assert report["models"] == {"generator": "one", "verifier": "two"}
+    assert report["usage"] == {"calls": 4 + 8 + 7, "input_tokens": 19 * 7, "output_tokens": 19 * 3}
+    assert {b["model"] for b in Service.seen} == {"one", "two"} and {b["temperature"] for b in Service.seen} == {0.5}
+    assert len(Service.seen) == 20  # one was repeated
+    import shutil
+
+    for x in ("qac_splits", "qac_all"):
+        shutil.rmtree(out / x)
+    assert commands.main(call) == 0 and len(Service.seen) == 20  # goes on from what it saved
+    server.shutdown()
+    monkeypatch.delenv("LOOM_BASE_URL")
+    with pytest.raises(ValueError):
+        commands.main(call)
+
+
+def test_failed_calls_mark_their_rows(spark):
+    def broken(prompts):
+        raise RuntimeError("no service")
+
+    units = spark.createDataFrame([("u", 1, "s", "A passage that is long enough to hold a sentence of some length.", 0, 65)], "unit_id string, doc_id long, section string, text string, source_start int, source_end int")
+    checked, used = generation.generate(units, broken)
+    assert [r.drop for r in checked.collect()] == ["drop_generation"] and used.where("error LIKE '%no service%'").count() == 1
+
+    def unreadable(prompts):
+        import pandas as pd
+
+        return pd.DataFrame({"reply": ["not json"] * len(prompts)})
+
+    assert [r.drop for r in generation.generate(units, unreadable)[0].collect()] == ["drop_generation"]
+
+
+def test_stop_headings_are_normalised(spark):
+    docs = spark.createDataFrame([(1, "# T\n\n## 2. Author Notes!\n\ngone\n")], "doc_id long, text string")
+    assert cleaning.clean_documents(docs, ["## Author notes"]).first().text == "# T\n"
+
+
+def test_distractors_beyond_the_first_contexts(spark):
+    # The first hundred contexts hold the evidence of every record but the last ones.
+    rows = [(k, f"q{k}", "q", "common", f"common text {k}" if k < 100 else f"other {k}", k // 2, "common" if k < 105 else "") for k in range(110)]
+    table = spark.createDataFrame(rows, "ord long, id string, question string, answer string, context string, doc_id long, evidence_span string")
+    out = {r.source_qac_id: r.distractor_qac_id for r in stress.distractor(table, first=8).collect()}
+    want = {}
+    for o, i, _, _, _, doc, span in rows:
+        fit = next((x[1] for x in rows if x[5] != doc and span not in x[4]), None)
+        if fit:
+            want[i] = fit
+    assert out == want and len(want) == 105
+    assert stress.distractor(table.withColumn("doc_id", F.lit(1)), first=8).count() == 0
+
+
 def test_stream(spark, tmp_path):
     source = tmp_path / "in"
     source.mkdir()
