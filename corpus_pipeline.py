@@ -8,10 +8,7 @@ as they are.
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from corpusloom.llm import common, language, packing, simhash, toxicity
 
@@ -54,11 +51,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, each written and read again in the shared folder."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loom-"))
     docs = common.read_table(spark, sf_dir, "documents")
-    folder = f"{context.getCheckpointDir()}/pipeline-{context.applicationId}-{spark._jvm.java.util.UUID.randomUUID()}"
+    folder = common.scratch(spark, "pipeline")
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")

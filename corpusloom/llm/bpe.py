@@ -15,6 +15,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import json
+import sys
 import re
 from collections.abc import Iterator
 
@@ -52,22 +53,27 @@ def _byte_letters() -> dict[str, int]:
 
 
 class Known(dict):
-    """Ids (little-endian 32-bit) by text; what is missing is made, and all is dropped when too many."""
+    """Ids (little-endian 32-bit) by text; what is missing is made, and all is dropped when it takes more than `limit` bytes."""
 
     def __init__(self, make, limit: int):
-        self.make, self.limit = make, limit
+        self.make, self.limit, self.size = make, limit, 0
 
     def __missing__(self, text: str) -> bytes:
-        if len(self) >= self.limit:
+        ids = self.make(text)
+        size = sys.getsizeof(text) + sys.getsizeof(ids) + 110  # and the entry's part of the table
+        if self.size + size > self.limit:
             self.clear()
-        self[text] = ids = self.make(text)
+            self.size = 0
+        if size <= self.limit // 16:  # a longer one isn't worth its place
+            self[text] = ids
+            self.size += size
         return ids
 
 
 class Vocabulary:
-    """One tokenizer file: exact encoding and decoding. `limit` bounds the pieces kept in memory."""
+    """One tokenizer file: exact encoding and decoding. `limit`: bytes of pieces kept in memory."""
 
-    def __init__(self, path: str, limit: int = 700_000):
+    def __init__(self, path: str, limit: int = 160 << 20):
         spec = json.load(open(path, encoding="utf-8"))
         letters = _byte_letters()
         vocab = spec["model"]["vocab"]

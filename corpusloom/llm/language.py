@@ -10,7 +10,6 @@ It is trained in numpy by backpropagation through time on words of a bounded, ba
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,13 +22,17 @@ from .common import LOWER, read_table, span_hashes, text_blocks, word_spans
 
 UNDETERMINED = "und"
 WINDOW = 64
-_LETTER = re.compile(r"[^\W\d_]")
 #: Bytes whose labels are pooled: letters, and parts of longer characters.
 _POOLED = np.zeros(256, dtype=np.float32)
 _POOLED[97:123] = 1
 _POOLED[128:] = 1
 
 
+def lettered(text: str | None) -> bool:
+    """Whether a text has a letter, of any script; digits and numerals of other kinds are none."""
+    return text is not None and any(map(str.isalpha, text))
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (np.tanh(0.5 * x) + 1)
 
@@ -225,18 +228,27 @@ def fit(docs: DataFrame, per_language: int = 250, words_each: int = 400, hidden:
     languages = sorted(counts)
     share = F.create_map(*[x for k in languages for x in (F.lit(k), F.lit(1.3 * per_language / counts[k]))])
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    rows = usable.select("text", "lang", draw.alias("draw")).where(F.col("draw") < share[F.col("lang")]).collect()  # about per_language rows of each
-    rng = np.random.default_rng(3)
+    def some_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for text, at in zip(batch.column(2).to_pylist(), batch.column(1).to_pylist()):
+                data = np.frombuffer(text.encode(), np.uint8)
+                starts, ends, _ = _windows(data, np.array([0, len(data)]))
+                if len(starts) > words_each:
+                    chosen = np.sort(np.random.default_rng(int(at * (1 << 30))).choice(len(starts), words_each, replace=False))
+                    starts, ends = starts[chosen], ends[chosen]
+                out.append([data[a:b].tobytes() for a, b in zip(starts, ends)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.binary()))], ["lang", "draw", "words"])
+
+    picked = usable.select("lang", draw.alias("draw"), F.col("text").cast("string").alias("text")).where(F.col("draw") < share[F.col("lang")])
+    rows = picked.mapInArrow(some_words, "lang string, draw double, words array<binary>").collect()  # about per_language rows of each, of words_each words at most
     xs, lengths, labels = [], [], []
     for k, lang in enumerate(languages):
-        for r in sorted((r for r in rows if r.lang == lang), key=lambda r: r.draw)[:per_language]:
-            data = np.frombuffer(r.text.encode(), np.uint8)
-            starts, ends, _ = _windows(data, np.array([0, len(data)]))
-            if len(starts) > words_each:
-                chosen = rng.choice(len(starts), words_each, replace=False)
-                starts, ends = starts[chosen], ends[chosen]
-            if len(starts):
-                x, n = _matrix(data, starts, ends)
+        for r in sorted((r for r in rows if r.lang == lang), key=lambda r: (r.draw, r.words))[:per_language]:
+            if r.words:
+                n = np.array([len(w) for w in r.words])
+                ends = np.cumsum(n)
+                x, n = _matrix(np.frombuffer(b"".join(r.words), np.uint8), ends - n, ends)
                 xs.append(np.pad(x, ((0, 0), (0, WINDOW - x.shape[1]))))
                 lengths.append(n)
                 labels.append(np.full(len(n), k))
@@ -270,8 +282,8 @@ def judge(network: Network | None, column: pa.Array) -> tuple[list[str], np.ndar
     sums, count = pool(network, column)
     p = _softmax(sums / np.maximum(count, 1)[:, None])
     best = p.argmax(axis=1)
-    lettered = [bool(t) and _LETTER.search(t) is not None for t in column.to_pylist()]
-    return [network.languages[b] if ok else UNDETERMINED for b, ok in zip(best, lettered)], np.where(lettered, p[np.arange(n), best], 0.0)
+    some = [lettered(t) for t in column.to_pylist()]
+    return [network.languages[b] if ok else UNDETERMINED for b, ok in zip(best, some)], np.where(some, p[np.arange(n), best], 0.0)
 
 
 def flagged(docs: DataFrame, network: Network | None, least: float) -> DataFrame:
@@ -282,7 +294,7 @@ def flagged(docs: DataFrame, network: Network | None, least: float) -> DataFrame
         for batch in batches:
             column = batch.column(batch.schema.get_field_index("text"))
             if shared.value is None:
-                keep = [bool(t) and _LETTER.search(t) is not None for t in column.to_pylist()]
+                keep = [lettered(t) for t in column.to_pylist()]
             else:
                 said, score = judge(shared.value, column)
                 keep = [x != UNDETERMINED and s >= least for x, s in zip(said, score)]

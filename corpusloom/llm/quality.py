@@ -171,9 +171,10 @@ def fit_rules(docs: DataFrame, labels: DataFrame, sample: int = 12_000, names: l
     stats = features(text_statistics(texts)).join(F.broadcast(chosen), "doc_id")
     # Base tests are made on what was collected: as a filter they would be pushed below the join, to every text.
     fields = list(dict.fromkeys(["doc_id", "quality", "n_words", "n_repeat_words", *names]))
-    by_id = {r.doc_id: r for r in stats.select(fields).collect()}
-    rows = [r for r in by_id.values() if r.n_words >= 50 and 100 * r.n_repeat_words <= 50 * r.n_words]
-    return learn_rules([{f: float(r[f]) for f in names} | {"low": int(r.quality == 0), "order": ((r.doc_id * 2654435761) & 0xFFFFFFFF, r.doc_id)} for r in rows], names)
+    # Of differing texts of an id the least statistics count.
+    found = stats.select(*fields, F.xxhash64("doc_id").alias("draw")).groupBy("doc_id").agg(F.min(F.struct(*fields, "draw")).alias("r")).select("r.*")
+    rows = [r for r in found.collect() if r.n_words >= 50 and 100 * r.n_repeat_words <= 50 * r.n_words]
+    return learn_rules([{f: float(r[f]) for f in names} | {"low": int(r.quality == 0), "order": ((r.doc_id * 2654435761) & 0xFFFFFFFF if isinstance(r.doc_id, int) else r.draw, r.doc_id)} for r in rows], names)
 
 
 def _base_failed() -> Column:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import read_table, span_hashes, text_blocks, word_spans
+from .common import checkpoint, read_table, span_hashes, text_blocks, word_spans
 
 #: What stands between words here: all bytes but letters, digits, apostrophes and parts of longer characters.
 _BETWEEN = np.ones(256, dtype=bool)
@@ -32,6 +32,8 @@ _MARK = np.zeros(256, dtype=np.int64)
 _MARK[[ord(c) for c in "#*$%&|<>!"]] = 1
 #: Lengths in bytes of the word beginnings that are features beside whole words.
 STEMS = (4, 5, 6)
+#: Features that are chosen at most, and the texts of the sample that must hold one; half of them at most may. TELLING: the least chi-square.
+MOST, LEAST, TELLING = 6000, 3, 6.6
 N_DENSE = 3
 
 
@@ -157,20 +159,19 @@ class Chain:
         return out
 
 
-def choose(row: np.ndarray, feature: np.ndarray, y: np.ndarray, most: int, least: int = 3) -> np.ndarray:
-    """The `most` features that tell most about any category: by a chi-square with the sign kept to what marks it, in `least` texts or more and in half of all at most."""
+def counts(row: np.ndarray, feature: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Features that texts hold, and for each the texts, and those of each category."""
     names, which = np.unique(feature, return_inverse=True)
-    n = len(y)
-    df = np.bincount(which, minlength=len(names)).astype(float)
-    worth = np.zeros(len(names))
-    for k in range(y.shape[1]):
-        a = np.bincount(which, weights=y[row, k].astype(float), minlength=len(names))
-        share = y[:, k].mean()
+    return names, np.stack([np.bincount(which, minlength=len(names)), *(np.bincount(which, y[row, k], len(names)) for k in range(y.shape[1]))], axis=1)
+
+
+def worth(df, held: list, shares: list[float], greatest, when):
+    """What a feature tells about any category: a chi-square with the sign kept to what marks it. For arrays or columns."""
+    parts = []
+    for a, share in zip(held, shares):
         expected = df * share
-        worth = np.maximum(worth, np.where(a > expected, (a - expected) ** 2 / np.maximum(expected * (1 - share), 1e-9), 0))
-    worth[(df < least) | (df > 0.5 * n)] = 0
-    top = np.argsort(-worth, kind="stable")[:most]
-    return np.sort(names[top[worth[top] > 6.6]])
+        parts.append(when(a > expected, (a - expected) * (a - expected) / (expected * (1 - share) + 1e-9)))
+    return greatest(parts)
 
 
 def _cut(p: np.ndarray, y: np.ndarray, precision: float) -> float:
@@ -188,16 +189,22 @@ def _cut(p: np.ndarray, y: np.ndarray, precision: float) -> float:
     return float((p[order][best] + below) / 2)
 
 
-def fit_chain(rows: list[tuple[str | None, list[int]]], names: list[str], most: int = 6000, folds: int = 5, precision: float = 0.98) -> Chain:
-    """A chain from (text, label of each category) rows."""
+def fit_chain(rows: list[tuple[str | None, list[int]]], names: list[str], most: int = MOST, least: int = LEAST) -> Chain:
+    """A chain from (text, label of each category) rows, without Spark."""
     column = pa.array([t for t, _ in rows], pa.large_string())
     y = np.array([v for _, v in rows], dtype=float).reshape(len(rows), len(names))
-    row, feature, dense = find_features(column, None)
-    chosen = choose(row, feature, y, most) if len(rows) else np.zeros(0, np.uint64)
-    place = np.searchsorted(chosen, feature)
-    place[place == len(chosen)] = 0
-    known = chosen[place] == feature if len(chosen) else np.zeros(len(feature), bool)
-    row, feature = row[known], place[known]
+    row, feature, _ = find_features(column, None)
+    found, n = counts(row, feature, y)
+    w = worth(n[:, 0], list(n[:, 1:].T), y.mean(axis=0).tolist() if len(rows) else [], lambda x: np.max(x, axis=0), lambda c, x: np.where(c, x, 0.0)) if len(rows) else np.zeros(0)
+    w[(n[:, 0] < least) | (n[:, 0] > 0.5 * len(rows))] = 0
+    top = np.lexsort((found.view(np.int64), -w))[:most]
+    chosen = np.sort(found[top[w[top] > TELLING]])
+    return fit_presence(*find_features(column, chosen), y, chosen, names)
+
+
+def fit_presence(row: np.ndarray, feature: np.ndarray, dense: np.ndarray, y: np.ndarray, chosen: np.ndarray, names: list[str], folds: int = 5, precision: float = 0.98) -> Chain:
+    """A chain from the places of chosen features that texts hold, their dense features and their labels."""
+    rows = y
     fold = np.arange(len(rows)) % folds
     models, cuts, before = [], [], np.zeros((len(rows), 0))
     for k in range(len(names)):
@@ -236,9 +243,39 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, str] = CATEGOR
     for part in parts[1:]:
         sample = sample.unionByName(part)
     sample = sample.distinct()  # at most (categories + 2) * each small rows
-    rows = docs.where("doc_id IS NOT NULL").select("doc_id", "text").join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"]).collect()
+    labelled = [f"c{k}" for k in range(len(names))]
+    # Of differing texts of an id the least counts. Features are found and counted where the texts are.
+    texts = checkpoint(docs.where("doc_id IS NOT NULL").select("doc_id", F.col("text").cast("string")).join(F.broadcast(sample), "doc_id").groupBy("doc_id", "draw", *labelled).agg(F.min("text").alias("text")))
+    n, *held = texts.agg(F.count("*"), *[F.coalesce(F.sum(c), F.lit(0)) for c in labelled]).first()
+    shares = [h / max(1, n) for h in held]
+    width = len(labelled)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            y = np.stack([batch.column(1 + k).to_numpy(zero_copy_only=False) for k in range(width)], axis=1)
+            row, feature, _ = find_features(batch.column(0), None)
+            found, c = counts(row, feature, y)
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), *(pa.array(x.astype(np.int64)) for x in c.T)], ["feature", "df", *labelled])
+
+    counted = texts.select("text", *labelled).mapInArrow(count, "feature long, df long, " + ", ".join(f"{c} long" for c in labelled)).groupBy("feature").agg(F.sum("df").alias("df"), *[F.sum(c).alias(c) for c in labelled])
+    told = worth(F.col("df"), [F.col(c) for c in labelled], shares, lambda x: F.array_max(F.array(*x)), lambda c, x: F.when(c, x).otherwise(0.0))
+    counted = counted.where((F.col("df") >= LEAST) & (F.col("df") <= 0.5 * n)).withColumn("worth", told).where(F.col("worth") > TELLING)
+    chosen = np.sort(np.array([r.feature for r in counted.orderBy(F.desc("worth"), "feature").limit(MOST).collect()], np.int64).view(np.uint64))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, feature, dense = find_features(batch.column(0), chosen)
+            parts = np.split(feature.astype("<u4"), np.cumsum(np.bincount(row, minlength=len(dense)))[:-1]) if len(dense) else []
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in parts], pa.binary()), pa.array(dense.tolist(), pa.list_(pa.float64())), *batch.columns[1:]], ["features", "dense", *batch.schema.names[1:]])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = texts.select("text", "draw", "doc_id", *labelled).mapInArrow(place, f"features binary, dense array<double>, draw long, doc_id {kind}, " + ", ".join(f"{c} int" for c in labelled)).collect()  # at most (categories + 2) * each small rows
     rows.sort(key=lambda r: (r.draw, r.doc_id))
-    return fit_chain([(r.text, [r[f"c{k}"] for k in range(len(names))]) for r in rows], names)
+    features = [np.frombuffer(r.features, "<u4").astype(np.int64) for r in rows]
+    row = np.repeat(np.arange(len(rows)), [len(f) for f in features]).astype(np.int64)
+    y = np.array([[r[c] for c in labelled] for r in rows], dtype=float).reshape(len(rows), width)
+    dense = np.array([r.dense for r in rows]).reshape(len(rows), N_DENSE)
+    return fit_presence(row, np.concatenate(features) if features else np.zeros(0, np.int64), dense, y, chosen, names)
 
 
 def score_documents(docs: DataFrame, chain: Chain) -> DataFrame:

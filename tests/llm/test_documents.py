@@ -63,15 +63,72 @@ def test_toxicity_edges(judged, docs, hard_texts, spark):
 
 def test_sample_holds_1500_texts_of_a_category(docs, spark, monkeypatch):
     taken = []
-    monkeypatch.setattr(toxicity, "fit_chain", lambda rows, names: taken.extend(rows))
+    monkeypatch.setattr(toxicity, "fit_presence", lambda row, feature, dense, y, chosen, names: taken.extend(y.tolist()))
     labels = spark.range(8000).selectExpr("id AS doc_id", "1 AS quality", "CAST(id % 4 = 0 AS int) AS toxic")
     toxicity.fit(docs([f"text {k}" for k in range(8000)]), labels)
-    assert sum(v[1] for _, v in taken) >= 1500
+    assert sum(v[1] for v in taken) >= 1500
+
+
+def plain_linear(x, y, size, most, l1=0.5, l2=1.0, steps=250, sparse=0):
+    """Proximal gradient steps with momentum on a full matrix, whose first `sparse` columns are penalised by absolute value."""
+    n = len(y)
+    step = 4.0 / (n * min(most, 20 * size)) * 4
+    w, b = np.zeros(x.shape[1]), 0.0
+    pw, pb, t = w, b, 1.0
+    for _ in range(steps):
+        g = 1 / (1 + np.exp(-np.clip(x @ w + b, -40, 40))) - y
+        nw = w - step * (x.T @ g + l2 * w)
+        nw[:sparse] = np.sign(nw[:sparse]) * np.maximum(0, np.abs(nw[:sparse]) - step * l1)
+        nb = b - step * g.sum()
+        t2 = (1 + (1 + 4 * t * t) ** 0.5) / 2
+        w, b = nw + (t - 1) / t2 * (nw - pw), nb + (t - 1) / t2 * (nb - pb)
+        pw, pb, t = nw, nb, t2
+    return pw, pb
+
+
+def test_chain_against_a_plain_loop():
+    rng = np.random.default_rng(15)
+    n, width = 120, 9
+    presence = (rng.random((n, width)) < 0.3).astype(float)
+    dense = rng.random((n, toxicity.N_DENSE))
+    y = np.stack([presence[:, 0] * (rng.random(n) < 0.8), np.maximum(presence[:, 0], presence[:, 1]) * (rng.random(n) < 0.9)], axis=1)
+    row, feature = np.nonzero(presence)
+    chain = toxicity.fit_presence(row, feature, dense, y, np.arange(width, dtype=np.uint64), ["a", "b"])
+    before = np.zeros((n, 0))
+    for k in range(2):
+        full = np.hstack([dense, before])
+        apart = np.zeros(n)
+
+        def fit(use):
+            size = presence[use].sum(axis=1).mean() + (full[use] ** 2).sum(axis=1).mean() + 1  # noqa: B023
+            most = presence[use].sum(axis=1).max() + (full[use] ** 2).sum(axis=1).max() + 1  # noqa: B023
+            return plain_linear(np.hstack([presence[use], full[use]]), y[use, k], size, most, sparse=width)  # noqa: B023
+
+        for fold in range(5):
+            test = np.arange(n) % 5 == fold
+            w, b = fit(~test)
+            apart[test] = 1 / (1 + np.exp(-(np.hstack([presence, full])[test] @ w + b)))
+        w, b = fit(np.ones(n, bool))
+        assert np.allclose(np.r_[chain.models[k].sparse, chain.models[k].dense], w, atol=1e-9) and abs(chain.models[k].bias - b) < 1e-9
+        before = np.hstack([before, apart[:, None]])
+
+
+def test_features_are_chosen_alike_with_and_without_a_cluster(spark, docs):
+    rng = np.random.default_rng(16)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 60, 40)) + (" vile nasty" if k % 5 == 0 else "") for k in range(300)]
+    labels = spark.createDataFrame([(k, 1, int(k % 5 == 0)) for k in range(300)], "doc_id long, quality int, toxic int")
+    chain = toxicity.fit(docs(texts).repartition(3), labels)
+    alone = toxicity.fit_chain([(t, [0, int(k % 5 == 0)]) for k, t in enumerate(texts)], ["low_quality", "toxic"])
+    assert (chain.chosen == alone.chosen).all() and len(chain.chosen) > 1
 
 
 # ---- language
 
 
+def test_numerals_are_no_letters():
+    assert [language.lettered(t) for t in (None, "", "12 ²½Ⅷ_!", "٣", "a", "12 é", "中")] == [False, False, False, False, True, True, True]
+
+
 def test_language_on_held_out_documents(spark, docs, hard_texts):
     table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     network = language.fit(table, per_language=60, steps=250)

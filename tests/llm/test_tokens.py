@@ -21,7 +21,7 @@ def ids_of(library, text):
 
 
 def test_backtracking_is_exact(library):
-    v = bpe.Vocabulary(bpe.default_vocabulary(), limit=50)
+    v = bpe.Vocabulary(bpe.default_vocabulary(), limit=20_000)
     random.seed(3)
     parts = ["a", "b", "  ", "\n", "\t", "é", "ß", "'s", "1", "23", "!", " the", " token", " ", "😀", "\x1c", "\x85", "中文", "<|endoftext|>", "\r\n", "'", "ing", "AAAA"]
     texts = ["".join(random.choice(parts) for _ in range(random.randint(0, 30))) for _ in range(1500)]
@@ -38,6 +38,18 @@ def test_fast_path_gives_the_same_ids():
         assert v.encode(t) == w.encode(t)
 
 
+def test_memory_of_pieces_is_bounded_in_bytes():
+    import tracemalloc
+
+    v = bpe.Vocabulary(bpe.default_vocabulary(), limit=8 << 20)
+    random.seed(11)
+    tracemalloc.start()
+    for _ in range(400):
+        v.encode(" ".join("".join(chr(random.randint(0x4E00, 0x9FFF)) for _ in range(300)) for _ in range(8)))
+    assert tracemalloc.get_traced_memory()[0] < 24 << 20
+    tracemalloc.stop()
+
+
 def test_round_trip_query(docs, hard_texts, library):
     out = {}
     for r in bpe.round_trip(docs(hard_texts)).collect():
