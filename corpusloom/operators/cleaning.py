@@ -28,18 +28,15 @@ _COPYRIGHT = r"(?iU)protected by copyright|all rights reserved|this journal is 
 _NUMBERING = r"(?Ud)^(?:\s*(?:\d+|[ivxlcdmIVXLCDM]{1,4})(?>\s*[.):|\-–—]\s*|\s+))+(?=\S)"
 
 
-def split_blocks(docs: DataFrame) -> DataFrame:
-    """doc_id, pos (from 0), block, is_heading. A line that begins with # is a block of its own; blank lines part the others."""
-    lines = docs.select("doc_id", F.posexplode(F.split(F.regexp_replace(tx.normalise_newlines(F.col("text")), "[\x0b\x0c\x1c\x1d\x1e\x85  ]", "\n"), "\n")).alias("n", "raw"))
-    lines = lines.withColumn("line", F.regexp_replace("raw", r"(?Ud)\s+\z", ""))
-    heading = F.col("line").rlike(r"(?U)^\s*#")
-    lines = lines.withColumn("is_heading", heading).withColumn("blank", F.col("line") == "")
-    order = Window.partitionBy("doc_id").orderBy("n")
-    new = F.col("is_heading") | F.col("blank") | F.coalesce(F.lag("is_heading").over(order), F.lit(True)) | F.coalesce(F.lag("blank").over(order), F.lit(True))
-    marked = lines.withColumn("part", F.sum(new.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))).where("NOT blank")
-    blocks = marked.groupBy("doc_id", "part").agg(F.max("is_heading").alias("is_heading"), F.expr("concat_ws('\n', transform(array_sort(collect_list(struct(n, line))), x -> x.line))").alias("block"))
-    pos = F.row_number().over(Window.partitionBy("doc_id").orderBy("part")) - 1
-    return blocks.select("doc_id", pos.alias("pos"), F.when(F.col("is_heading"), tx.strip(F.col("block"))).otherwise(F.col("block")).alias("block"), "is_heading")
+def split_blocks(docs: DataFrame, outer: bool = False) -> DataFrame:
+    """doc_id, pos (from 0), block, is_heading. A line that begins with # is a block of its own; blank lines part the others. outer: a document without blocks has a row of nulls."""
+    t = F.regexp_replace(tx.normalise_newlines(F.col("text")), "[\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]", "\n")
+    # Lines without white space at their ends; then a blank line on both sides of each heading, and all is parted at blank lines.
+    t = F.regexp_replace(t, r"(?Ud)(?<![^\S\n])[^\S\n]++(?=\n|\z)", "")
+    t = F.regexp_replace(t, r"(?mUd)^([^\S\n]*#[^\n]*)$", "\n$1\n")
+    blocks = F.filter(F.transform(F.split(t, r"\n\n+"), lambda x: F.trim(x, F.lit("\n"))), lambda x: x != "")
+    rows = docs.select("doc_id", (F.posexplode_outer if outer else F.posexplode)(blocks).alias("pos", "block")).withColumn("is_heading", F.coalesce(F.col("block").rlike(r"(?U)^\s*#"), F.lit(False)))
+    return rows.withColumn("block", F.when(F.col("is_heading"), tx.strip(F.col("block"))).otherwise(F.col("block")))
 
 
 def normalise_heading(c: Column) -> Column:
@@ -85,7 +82,7 @@ def classify_blocks(docs: DataFrame, stop_headings: list[str] = []) -> DataFrame
     # Normalised once, as a row; then they are words for the rule.
     stops = docs.sparkSession.createDataFrame([(s,) for s in stop_headings], "s string").select(normalise_heading(F.col("s"))).collect() if stop_headings else []
     stops = [r[0] for r in stops]
-    blocks = split_blocks(docs).withColumn("norm", F.when(F.col("is_heading"), normalise_heading(F.col("block"))))
+    blocks = split_blocks(docs, outer=True).withColumn("norm", F.when(F.col("is_heading"), normalise_heading(F.col("block"))))
     order = Window.partitionBy("doc_id").orderBy("pos")
     so_far = order.rowsBetween(Window.unboundedPreceding, 0)
     state = blocks.withColumns({"title": F.first("norm", ignorenulls=True).over(so_far), "headings": F.count("norm").over(so_far)})
@@ -97,18 +94,19 @@ def classify_blocks(docs: DataFrame, stop_headings: list[str] = []) -> DataFrame
     lines = F.split("block", "\n")
     state = state.withColumn("rest", F.filter(lines, lambda x: ~x.rlike(image))).withColumn("text", F.concat_ws("\n", "rest"))
     dropped = F.col("section") == "drop_section"
-    paragraph = F.when(dropped & tx.strip(F.col("block")).rlike(r"(?iU)^(?:conspectus|abstract)\s*[:：]"), "abstract_rescued").when(dropped, "paragraph_dropped_with_section").when(F.size("rest") == 0, "image").otherwise(paragraph_action(F.col("text")))
+    paragraph = F.when(dropped & tx.strip(F.col("block")).rlike(r"(?iU)^(?:conspectus|abstract)\s*[:：]"), "abstract_rescued").when(dropped, "paragraph_dropped_with_section").when(F.col("block").isNull(), "keep").when(F.size("rest") == 0, "image").otherwise(paragraph_action(F.col("text")))
     names = F.when(F.col("heading_action") == "terminal", "terminal_cut").when(F.col("heading_action") == "drop_section", "section_dropped").otherwise(F.col("heading_action"))
     state = state.withColumn("action", F.when(F.col("is_heading"), names).otherwise(paragraph))
-    kept = F.when((F.col("action") == "keep") & F.col("is_heading"), F.col("block")).when(F.col("action") == "keep", F.col("text")).when(F.col("action") == "abstract_rescued", F.col("block"))
-    images = F.when(~F.col("is_heading") & ~dropped, F.size(lines) - F.size("rest")).otherwise(0)
+    kept = F.when(F.col("block").isNull(), F.lit(None)).when((F.col("action") == "keep") & F.col("is_heading"), F.col("block")).when(F.col("action") == "keep", F.col("text")).when(F.col("action") == "abstract_rescued", F.col("block"))
+    images = F.when(F.col("block").isNotNull() & ~F.col("is_heading") & ~dropped, F.size(lines) - F.size("rest")).otherwise(0)
     return state.select("doc_id", "pos", kept.alias("kept"), "action", images.alias("image_lines"))
 
 
 def clean_documents(docs: DataFrame, stop_headings: list[str] = []) -> DataFrame:
     """doc_id, text of every document; one of which nothing is kept has a newline alone."""
-    kept = classify_blocks(docs, stop_headings).where("kept IS NOT NULL").groupBy("doc_id").agg(F.expr("concat_ws('\n\n', transform(array_sort(collect_list(struct(pos, kept))), x -> x.kept))").alias("t"))
-    return docs.select("doc_id").join(kept, "doc_id", "left").select("doc_id", F.concat(tx.strip(F.coalesce("t", F.lit(""))), F.lit("\n")).alias("text"))
+    # Every document has a row at least, so the blocks' own grouping gives them all.
+    kept = classify_blocks(docs, stop_headings).groupBy("doc_id").agg(F.expr("concat_ws('\n\n', transform(array_sort(collect_list(CASE WHEN kept IS NOT NULL THEN struct(pos, kept) END)), x -> x.kept))").alias("t"))
+    return kept.select("doc_id", F.concat(tx.strip("t"), F.lit("\n")).alias("text"))
 
 
 def rule_counts(docs: DataFrame, stop_headings: list[str] = []) -> DataFrame:
