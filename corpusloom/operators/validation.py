@@ -66,13 +66,13 @@ def preflight(env: dict[str, str], qac_path: str, corpus_path: str, run_id: str,
     def said(name: str) -> str:
         return env.get(name, "").strip()
 
-    services = [f"{s}_LLM" for s in ("QAC", "EVAL", "JUDGE")]
-    models = ["QAC_LLM_MODEL", "QAC_LLM_VERIFIER_MODEL", "EVAL_LLM_MODEL", "JUDGE_LLM_MODEL"]
+    services = ["LOOM", "EVAL", "JUDGE"]
+    models = ["LOOM_MODEL", "LOOM_VERIFIER_MODEL", "EVAL_MODEL", "JUDGE_MODEL"]
     found = [] if run_id.strip() else ["no run id"]
     found += [] if budget is not None and budget > 0 else ["no positive budget"]
     found += [f"{name} is not set" for s in services for name in (f"{s}_BASE_URL", f"{s}_API_KEY") if not said(name)]
     found += [f"{name} is not set" for name in models if not said(name)]
-    if env.get("QAC_LLM_REASONING_EFFORT", "none").strip().lower() != "none":
+    if env.get("LOOM_REASONING_EFFORT", "none").strip().lower() != "none":
         found.append("reasoning effort must be none")
     for a, b in ((0, 1), (0, 3), (2, 3)):
         if env.get(models[a]) == env.get(models[b]):

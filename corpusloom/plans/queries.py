@@ -8,9 +8,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as tx
 from ..operators import cleaning, dedup, evidence, generation, manifest, retrieval, splits, stress, validation
+from ..sources import files
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -311,7 +313,7 @@ def _by_value(f):
     from pyspark import cloudpickle
 
     packed = cloudpickle.dumps(f)
-    return lambda prompts: cloudpickle.loads(packed)(prompts)
+    return lambda *given: cloudpickle.loads(packed)(*given)
 
 
 def provider_funnel(spark, d):
@@ -415,6 +417,98 @@ def distribution(spark, d):
     return splits.distribution(_hash_split(spark, d))
 
 
+# ---- sources and sinks
+
+
+def _scratch(spark, name: str) -> str:
+    """A new folder in the shared one."""
+    import uuid
+
+    return f"{dedup.shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def jsonl_strict(spark, d):
+    path = _scratch(spark, "strict")
+    files.write_jsonl(_read(spark, d, "documents").select("doc_id", "text", "lang"), path)
+    return files.read_jsonl(spark, path, "doc_id long, text string, lang string")
+
+
+_LINES = "CASE WHEN doc_id % 5 = 1 THEN concat('{broken ', doc_id) WHEN doc_id % 5 = 2 THEN '   ' WHEN doc_id % 5 = 3 THEN concat('[', doc_id, ']') ELSE to_json(struct(doc_id, text, lang)) END"
+
+
+def jsonl_tolerant(spark, d):
+    path = _scratch(spark, "tolerant")
+    _read(spark, d, "documents").select(F.expr(_LINES)).write.text(path)
+    rows = files.read_jsonl_tolerant(spark, path, T.StructType.fromDDL("doc_id long, text string, lang string"))
+    return rows.select("invalid", F.when(F.col("invalid"), F.col("line")).alias("line"), F.when(~F.col("invalid"), F.col("record.doc_id").cast("string")).alias("doc_id"), F.when(~F.col("invalid"), F.col("record.text")).alias("text"))
+
+
+def merged_shards(spark, d):
+    folder = _scratch(spark, "shards")
+    docs = _read(spark, d, "documents")
+    for k in range(2):
+        line = F.expr("CASE doc_id % 6 WHEN 0 THEN concat('{\"a\": NaN, \"id\": ', doc_id, '}') WHEN 1 THEN concat('{\"a\": \"none\", \"id\": ', doc_id, '}') WHEN 2 THEN concat('{\"a\": \"中\", \"id\": ', doc_id, '}') WHEN 3 THEN 'not json' ELSE to_json(struct(doc_id, text)) END")
+        docs.where(F.col("doc_id") % 2 == k).select(line).write.text(f"{folder}/{k}")
+    return files.merge_shards(spark, [f"{folder}/0", f"{folder}/1"]).select(F.get_json_object("line", "$.doc_id").cast("long").alias("doc_id"), F.get_json_object("line", "$.text").alias("text"))
+
+
+def csv_table(spark, d):
+    path = _scratch(spark, "csv")
+    files.write_csv(_read(spark, d, "events").select("event_id", "event_type", "value"), path)
+    return files.read_csv(spark, path, "event_id long, event_type string, value double")
+
+
+def markdown_folder(spark, d):
+    folder = _scratch(spark, "markdown").removeprefix("file:")
+    docs = _read(spark, d, "documents").select(F.col("doc_id").cast("string").alias("stem"), F.coalesce("text", F.lit("")).alias("text"))
+    files.write_markdown(docs.where("doc_id % 2 = 0"), folder)
+    files.write_markdown(docs.where("doc_id % 2 = 1"), folder, "")
+    return files.read_markdown(spark, folder, cleaned_only=True).select(files.doc_id(F.col("stem")).alias("doc_id"), "text")
+
+
+def failed_files(spark, d):
+    folder = _scratch(spark, "parsed").removeprefix("file:")
+    files.write_markdown(_read(spark, d, "documents").select(F.col("doc_id").cast("string").alias("stem"), F.coalesce("text", F.lit("")).alias("text")), folder, "")
+
+    def parse(path, content):
+        if len(content) % 5 == 0:
+            raise ValueError(len(content))
+        return content.decode()
+
+    bad = files.failed(files.parse_files(spark, folder, _by_value(parse), "*.md"))
+    return bad.select(F.regexp_extract("path", r"(\d+)\.md$", 1).alias("doc_id"), "error")
+
+
+def split_ids(spark, d):
+    return files.with_split_ids(_hash_split(spark, d)).select("ord", "split", "id")
+
+
+def last_units(spark, d):
+    turns = _read(spark, d, "conversations").select(F.col("conv_id").alias("unit_id"), "turn", "text")
+    return retrieval.last_of_each(turns, "turn")
+
+
+def chat_replies(spark, d):
+    reply = F.to_json(F.struct(F.col("text").alias("answer"), F.struct(F.array(F.struct(F.col("role").alias("content")), F.struct(F.lit(None).cast("string").alias("content"))).alias("retriever_resources")).alias("metadata")))
+    parsed = _read(spark, d, "conversations").select("conv_id", "turn", retrieval.parse_chat(reply).alias("r"))
+    return parsed.select("conv_id", "turn", F.col("r.answer").alias("answer"), F.concat_ws("|", "r.contexts").alias("contexts"))
+
+
+def metric_groups(spark, d):
+    return retrieval.metric_group(metric_unpivot(spark, d), ["Answer Relevancy", "Faithfulness"], "click")
+
+
+def validation_counts(spark, d):
+    """The report's codes, by records that are read tolerantly."""
+    docs = _read(spark, d, "documents").where("length(text) > 20")
+    docs.createOrReplaceTempView("loom_validate")
+    path = _scratch(spark, "records")
+    spark.sql(_TAMPERED.format(view="loom_validate")).select(F.expr("IF(doc_id % 13 = 0, '{', to_json(record))")).write.text(path)
+    record = T.StructType.fromDDL("question string, answer string, context string, doc_id long, evidence_unit_id string, context_start int, context_end int, evidence_span string, evidence_start int, evidence_end int, source_sha256 string")
+    report = validation.validation_report(validation.validate_dataset(files.read_jsonl_tolerant(spark, path, record), docs.select("doc_id", "text")))
+    return report.select("total", "valid", "invalid", F.explode("errors").alias("code", "n"))
+
+
 # ---- validation, stress, judging
 
 _TAMPERED = """SELECT doc_id, text, named_struct('question', 'q', 'answer', 'a', 'context', IF(doc_id % 6 = 1, 'other', substring(text, 3)), 'doc_id', IF(doc_id % 11 = 4, -1, doc_id), 'evidence_unit_id', 'u',
@@ -482,10 +576,11 @@ QUERIES = {
     for f in (
         bm25_top5, bm25_index_stats, truth_ranks, ir_metrics, rrf_hybrid, block_stats, clean_documents, clean_rule_counts, clean_report, heading_norm, ref_block_flags, evidence_units, evidence_summary, source_manifest, license_counts,
         offline_candidates, hygiene_flags, qc_funnel, provider_funnel, provider_usage, token_f1_pairs, records, exact_dedup, near_dup_pairs, near_dedup, split_assignment, leakage_max_jaccard, distribution, validate_provenance, stress_numeric, stress_entity, stress_nonce, stress_distractor,
-        fixture_counts, judge_validity, metric_unpivot,
+        fixture_counts, judge_validity, metric_unpivot, metric_groups, jsonl_strict, jsonl_tolerant, merged_shards, csv_table, markdown_folder, failed_files, split_ids, last_units, chat_replies, validation_counts,
     )
 }
 
+_UNPIVOT_SQL = " UNION ALL ".join(f"SELECT event_type AS chunk_size, '{m.replace('_', ' ').title()}' AS metric, round(avg(value / {k}) FILTER (event_id % {k} <> 0), 6) AS score FROM events GROUP BY event_type" for k, m in enumerate(retrieval.METRICS, 3))
 _SPLIT_SQL = "CASE WHEN doc_id % 10 < 7 THEN 'train' WHEN doc_id % 10 = 7 THEN 'dev' ELSE 'test' END"
 _NUM = "'\\b\\d+(?:\\.\\d+)?\\b'"
 _DIST_COLUMNS = f"count(*) AS n, count(DISTINCT doc_id) AS documents, round(avg({_words_sql('question')}), 1) AS mean_question_words, round(avg({_words_sql('answer')}), 1) AS mean_answer_words"
@@ -501,6 +596,11 @@ _GREEDY_SQL = """f AS (SELECT min(ord) AS ord, key FROM s GROUP BY key),
  g AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS gone UNION ALL SELECT adj.i, CASE WHEN list_has_all(g.gone, adj.near) THEN g.gone ELSE list_append(g.gone, adj.ord) END FROM g JOIN adj ON adj.i = g.i + 1),
  k AS (SELECT unnest(gone) AS ord FROM (SELECT gone FROM g ORDER BY i DESC LIMIT 1))
  SELECT s.ord, CASE WHEN f.ord IN (SELECT ord FROM k) THEN 'dedup_near' WHEN s.ord = f.ord THEN 'kept' ELSE 'dedup_exact' END AS outcome FROM s JOIN f USING (key)"""
+_VALID_SQL = """v AS (SELECT *, substr(text, 3) AS ctx, substr(text, 5) AS ev FROM documents WHERE length(text) > 20),
+ src AS (SELECT v.*, s.text AS st FROM v LEFT JOIN v s ON s.doc_id = CASE WHEN v.doc_id % 11 = 4 THEN -1 ELSE v.doc_id END)
+,
+ checked AS (SELECT doc_id AS row, CASE WHEN st IS NULL THEN 'missing_source' ELSE concat_ws(',', CASE WHEN doc_id % 7 = 5 THEN 'source_sha256' END, CASE WHEN doc_id % 6 = 2 THEN 'context_offsets' WHEN doc_id % 6 = 1 THEN 'context_text' END,
+   CASE WHEN doc_id % 6 = 3 AND ev <> 'x' THEN 'evidence_text' WHEN doc_id % 6 = 4 AND substr(text, 1, length(text) - 4) <> ev THEN 'evidence_text' WHEN doc_id % 6 = 4 THEN 'evidence_outside_context' END) END AS errors FROM src)"""
 #: What the providers of the query do to candidates.
 _PROVIDER_SQL = f"""pr AS (SELECT *, CASE WHEN errors <> '' THEN 'drop_' || regexp_extract(errors, '^[^ ,]+') WHEN length(answer) % 7 = 3 THEN 'drop_grounding' WHEN length(answer) % 7 = 0 THEN 'drop_evidence'
   WHEN length(answer) % 5 = 0 THEN 'drop_verification' WHEN {_f1_sql("ta", "tr")} < 0.4 THEN 'drop_roundtrip' END AS why FROM hy)"""
@@ -539,10 +639,18 @@ ORACLES = {
  SELECT CAST(0 AS BIGINT) AS train_dev, CAST(0 AS BIGINT) AS train_test, CAST(0 AS BIGINT) AS dev_test, round(coalesce((SELECT max(c / (x + y - c)) FROM p), 0.0), 4) AS max_question_jaccard""",
     "distribution": f"""WITH {_CAND_SQL}, q AS (SELECT doc_id, question, answer, {_SPLIT_SQL} AS split, CASE WHEN item = 0 THEN 'factoid' ELSE 'reasoning' END AS qtype, CASE WHEN item = 0 THEN 'easy' ELSE 'medium' END AS difficulty FROM cq)
  SELECT split, 'total' AS kind, '' AS value, {_DIST_COLUMNS} FROM q GROUP BY split UNION ALL SELECT split, 'qtype', qtype, {_DIST_COLUMNS} FROM q GROUP BY split, qtype UNION ALL SELECT split, 'difficulty', difficulty, {_DIST_COLUMNS} FROM q GROUP BY split, difficulty""",
-    "validate_provenance": """WITH v AS (SELECT *, substr(text, 3) AS ctx, substr(text, 5) AS ev FROM documents WHERE length(text) > 20),
- src AS (SELECT v.*, s.text AS st FROM v LEFT JOIN v s ON s.doc_id = CASE WHEN v.doc_id % 11 = 4 THEN -1 ELSE v.doc_id END)
- SELECT doc_id AS row, CASE WHEN st IS NULL THEN 'missing_source' ELSE concat_ws(',', CASE WHEN doc_id % 7 = 5 THEN 'source_sha256' END, CASE WHEN doc_id % 6 = 2 THEN 'context_offsets' WHEN doc_id % 6 = 1 THEN 'context_text' END,
-   CASE WHEN doc_id % 6 = 3 AND ev <> 'x' THEN 'evidence_text' WHEN doc_id % 6 = 4 AND substr(text, 1, length(text) - 4) <> ev THEN 'evidence_text' WHEN doc_id % 6 = 4 THEN 'evidence_outside_context' END) END AS errors FROM src""",
+    "validate_provenance": f"WITH {_VALID_SQL} SELECT row, errors FROM checked",
+    "validation_counts": f"""WITH {_VALID_SQL}, c AS (SELECT CASE WHEN row % 13 = 0 THEN 'invalid_json' ELSE errors END AS errors FROM checked), t AS (SELECT count(*) AS total, count(*) FILTER (errors = '') AS valid, count(*) FILTER (errors <> '') AS invalid FROM c)
+ SELECT total, valid, invalid, code, n FROM t, (SELECT code, count(*) AS n FROM (SELECT unnest(string_split(errors, ',')) AS code FROM c WHERE errors <> '') GROUP BY code)""",
+    "jsonl_strict": "SELECT doc_id, text, lang FROM documents",
+    "jsonl_tolerant": "SELECT doc_id % 5 IN (1, 3) AS invalid, CASE doc_id % 5 WHEN 1 THEN concat('{broken ', doc_id) WHEN 3 THEN concat('[', doc_id, ']') END AS line, CASE WHEN doc_id % 5 IN (0, 4) THEN CAST(doc_id AS VARCHAR) END AS doc_id, CASE WHEN doc_id % 5 IN (0, 4) THEN text END AS text FROM documents WHERE doc_id % 5 <> 2",
+    "merged_shards": "SELECT doc_id, text FROM documents WHERE doc_id % 6 > 3 AND NOT regexp_matches(coalesce(text, ''), '[\\x{4E00}-\\x{9FFF}\\x{3400}-\\x{4DBF}\\x{F900}-\\x{FAFF}]')",
+    "csv_table": "SELECT event_id, event_type, value FROM events",
+    "markdown_folder": "SELECT CAST(doc_id AS VARCHAR) AS doc_id, replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS text FROM documents WHERE doc_id % 2 = 0",
+    "failed_files": "SELECT CAST(doc_id AS VARCHAR) AS doc_id, concat('ValueError: ', octet_length(encode(coalesce(text, '')))) AS error FROM documents WHERE octet_length(encode(coalesce(text, ''))) % 5 = 0",
+    "split_ids": f"WITH {_CAND_SQL}, q AS (SELECT doc_id * 10 + item AS ord, {_SPLIT_SQL} AS split FROM cq) SELECT ord, split, printf('qac-%s-%05d', split, row_number() OVER (PARTITION BY split ORDER BY ord) - 1) AS id FROM q",
+    "last_units": "SELECT conv_id AS unit_id, max(turn) AS turn, arg_max(coalesce(text, chr(0)), turn) AS text FROM conversations GROUP BY conv_id",
+    "chat_replies": "SELECT conv_id, turn, text AS answer, concat(coalesce(role, ''), '|') AS contexts FROM conversations",
     "stress_numeric": f"""WITH {_CAND_SQL}, n AS (SELECT *, regexp_extract(answer, {_NUM}) AS v FROM cq WHERE regexp_matches(answer, {_NUM})),
  m AS (SELECT *, regexp_replace(regexp_replace(CAST(CAST(v AS DOUBLE) + 1 AS VARCHAR), '(\\.\\d*?)0+$', '\\1'), '\\.$', '') AS w FROM n)
  SELECT doc_id * 10 + item AS ord, concat('q-', doc_id, '-', item, ':numeric') AS fixture_id, regexp_replace(answer, {_NUM}, w) AS candidate_answer, 'reject' AS expected_outcome, concat('number ', v, ' became ', w) AS rule FROM m""",
@@ -555,5 +663,6 @@ ORACLES = {
  UNION ALL SELECT 'entity_perturbation' FROM z WHERE len(list_filter(regexp_extract_all(answer, '{_ENT}'), lambda x: lower(x) NOT IN ('the', 'and', 'was', 'with', 'for') AND contains(text, x))) > 0)
  SELECT fixture_type, count(*) AS n FROM f GROUP BY fixture_type""",
     "judge_validity": "SELECT event_id, CASE event_id % 4 WHEN 0 THEN event_id % 3 = 0 AND event_id % 5 <> 0 AND user_id % 2 = 0 WHEN 1 THEN true WHEN 2 THEN event_id % 3 <> 0 ELSE false END AS valid FROM events",
-    "metric_unpivot": " UNION ALL ".join(f"SELECT event_type AS chunk_size, '{m.replace('_', ' ').title()}' AS metric, round(avg(value / {k}) FILTER (event_id % {k} <> 0), 6) AS score FROM events GROUP BY event_type" for k, m in enumerate(retrieval.METRICS, 3)),
+    "metric_groups": "SELECT * FROM (" + _UNPIVOT_SQL + ") WHERE metric IN ('Answer Relevancy', 'Faithfulness') AND chunk_size <> 'click'",
+    "metric_unpivot": _UNPIVOT_SQL,
 }

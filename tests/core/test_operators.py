@@ -281,7 +281,7 @@ def test_judging(spark):
 def test_preflight(tmp_path):
     f = tmp_path / "f"
     f.write_text("x")
-    env = {f"{s}_LLM_{k}": f"{s}{k}" for s in ("QAC", "EVAL", "JUDGE") for k in ("BASE_URL", "API_KEY", "MODEL")} | {"QAC_LLM_VERIFIER_MODEL": "v"}
+    env = {f"{s}_{k}": f"{s}{k}" for s in ("LOOM", "EVAL", "JUDGE") for k in ("BASE_URL", "API_KEY", "MODEL")} | {"LOOM_VERIFIER_MODEL": "v"}
     assert validation.preflight(env, str(f), str(f), "run", 1.0) == []
     assert len(validation.preflight({}, "no", "no", " ", 0)) == 2 + 6 + 4 + 3 + 2
 
