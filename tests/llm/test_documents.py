@@ -349,6 +349,53 @@ def test_frozen_columns_come_back():
     assert all((a == b).all() and len(a) == len(b) for a, b in zip(columns, mixing.thaw(mixing.freeze(*columns))))
 
 
+def test_mixing_makes_few_pieces_of_a_chunk(monkeypatch):
+    """A chunk has at most a piece for each group of buckets: pieces for each part and bucket took more time than the mixing at 6 GB."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(mixing, "PLACES", 500)
+    rng = np.random.default_rng(8)
+    buckets, spellers, texts = 160, 128, 60
+    unlearned = np.arange(600) < 50
+    size = np.full(texts, 100)
+    which = rng.integers(0, 600, int(size.sum()))
+    payload = mixing.freeze(which, size, np.ones(texts, int), size * 4, unlearned, np.full(50, 3), np.full(150, 97))
+    chunk = pa.table({"chunk": [5], "bucket": [-1], "payload": [payload], "doc_ids": [list(range(texts))]})
+    counts = mixing.freeze(np.arange(600), np.where(unlearned, 0, 1))
+    answers = pa.table({"chunk": [5], "bucket": [0], "payload": [counts], "classes": pa.array([[1]], pa.list_(pa.int32())), "offsets": pa.array([[0]], pa.list_(pa.int64()))})
+
+    class Shared:
+        value = mixing.Words([(1, 600, 600)], texts, buckets)
+
+    out = mixing._place(Shared, buckets, spellers, pa.int64())(chunk, answers)
+    kinds = Counter(out.column("kind").to_pylist())
+    assert 0 < kinds[1] <= buckets // 4 and 0 < kinds[2] <= spellers // 4 and kinds[0] == 1
+
+
+def test_mixing_scores_do_not_depend_on_groups(docs, monkeypatch):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(9)
+    table = docs([" ".join(f"w{j}" for j in rng.zipf(1.4, 80) % 900) + f" only{k}" for k in range(60)] + [None, ""])
+    for name, value in (("BUCKET_BYTES", 150), ("VOCABULARY_BYTES", 150), ("PLACES", 500)):
+        monkeypatch.setattr(mixing, name, value)
+    found = []
+    for most in (1, 4):
+        monkeypatch.setattr(mixing, "GROUP", most)
+        found.append({r.doc_id: r.score for r in mixing.score_documents(table, F.col("doc_id") % 7 != 2).collect()})
+        assert mixing._groups(100)[0] == most
+    assert len(found[0]) == 62 and found[0].keys() == found[1].keys()
+    assert all(abs(a - found[1][k]) < 1e-5 * abs(a) for k, a in found[0].items())
+
+
+def test_packed_tables_come_back():
+    rng = np.random.default_rng(1)
+    for kind, most in ((np.uint32, 1 << 32), (np.uint64, 1 << 62)):
+        tables = [rng.integers(0, most, (6, n)).astype(kind) for n in (5, 0, 700)]
+        counts, table = mixing.unpack([mixing.pack(np.array([t.shape[1], 3]), t) for t in tables])
+        assert (table == np.concatenate(tables, axis=1)).all() and [c.tolist() for c in counts] == [[5, 3], [0, 3], [700, 3]]
+
+
 # ---- near-duplicates
 
 
