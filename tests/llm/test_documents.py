@@ -343,6 +343,36 @@ def test_mixing_against_a_slow_loop():
     assert np.abs(fast - slow).max() < 1e-3
 
 
+def test_mixing_finds_bits_once_for_equal_tokens(monkeypatch):
+    """Time: a word's bits were found anew at each of its places."""
+    v, seq = some_words(np.random.default_rng(6), 700)
+    back, far = history(seq, v.start)
+    asked, at = [], mixing.Code.at
+    monkeypatch.setattr(mixing.Code, "at", lambda self, depth, leaf, number: asked.append(len(leaf)) or at(self, depth, leaf, number))
+    mixing.word_scores(v, np.ones(len(seq), bool), seq, back, far)
+    assert 0 < max(asked) <= len(np.unique(seq))
+
+
+def test_mixing_does_not_depend_on_tiles(monkeypatch):
+    """Tokens move up tile by tile, whether a tile loses none, one or all of them."""
+    rng = np.random.default_rng(11)
+    data = np.sort(rng.choice(np.frombuffer(b"aabcdefghijk ", np.uint8), 3000)).astype(np.int64)
+    data[1000:2500] = rng.permutation(data[1000:2500])
+    data[3] = ord("z")
+    contexts = [mixing._hash(*[np.r_[np.zeros(j, int), data[:-j]] for j in range(1, k + 1)]) for k in (1, 2, 3)]
+    code, train = mixing.Code(np.bincount(data, minlength=256) + 0.05, np.ones(256)), rng.random(3000) < 0.7
+    found = []
+    for tile in (1, 97, 1 << 20):
+        monkeypatch.setattr(mixing, "TILE", tile)
+        found.append(mixing.mixed_log10(code, data, 0 * data, code.length[data], contexts, train, (8.0, 4.0, 2.0), (16, 4, 1)))
+    assert np.abs(found[0] - found[2]).max() < 1e-6 and np.abs(found[1] - found[2]).max() < 1e-6
+
+
+def test_unique_is_that_of_numpy():
+    for h in (np.zeros(0, np.uint64), np.random.default_rng(2).integers(0, 40, 300).astype(np.uint64) << np.uint64(58)):
+        assert all((a == b).all() and len(a) == len(b) for a, b in zip(mixing._unique(h), np.unique(h, return_index=True, return_inverse=True)))
+
+
 def test_frozen_columns_come_back():
     rng = np.random.default_rng(1)
     columns = [rng.integers(0, 300, 50), np.zeros(0, int), np.zeros(4, int), rng.integers(0, 1 << 62, 9)]
