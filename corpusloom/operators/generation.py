@@ -6,7 +6,6 @@ alone. Persist what a provider returned before counting it: calls cost, and need
 
 from __future__ import annotations
 
-import difflib
 import hashlib
 import json
 import random
@@ -248,10 +247,35 @@ def hygiene_errors(question: Column, answer: Column) -> Column:
 
 
 def _matched_share():
-    """Characters of a span in matching blocks of a text, over its length. Made in here, it goes to workers by value, which needn't have this package."""
+    """Characters of a span in matching blocks of a text, over its length; the blocks are difflib's without its junk. Made in here, it goes to workers by value, which needn't have this package."""
+
+    def longest(s: str, t: str, alo: int, ahi: int, blo: int, bhi: int) -> tuple[int, int, int]:
+        """Start in s, start in t and length of the longest common run; of equal ones the first in s, then in t. Runs are looked up, so a text costs no step of Python for each of its letters."""
+        a = b = best = 0
+        i = alo
+        while i + best < ahi:
+            j = t.find(s[i : i + best + 1], blo, bhi)
+            while j >= 0:
+                n = best + 1
+                while i + n < ahi and j + n < bhi and s[i + n] == t[j + n]:
+                    n += 1
+                a, b, best = i, j, n
+                j = t.find(s[i : i + best + 1], j + 1, bhi) if i + best < ahi else -1
+            i += 1
+        return a, b, best
+
+    def matched(s: str, t: str) -> int:
+        total, ranges = 0, [(0, len(s), 0, len(t))]
+        while ranges:
+            alo, ahi, blo, bhi = ranges.pop()
+            a, b, n = longest(s, t, alo, ahi, blo, bhi)
+            if n:
+                total += n
+                ranges += [(alo, a, blo, b), (a + n, ahi, b + n, bhi)]
+        return total
 
     def share(span: pd.Series, text: pd.Series) -> pd.Series:
-        return pd.Series([sum(b.size for b in difflib.SequenceMatcher(None, s, t, autojunk=False).get_matching_blocks()) / len(s) if s else 0.0 for s, t in zip(span, text)], dtype=float)  # null: not asked
+        return pd.Series([matched(s, t) / len(s) if s else 0.0 for s, t in zip(span, text)], dtype=float)  # null: not asked
 
     share.__annotations__ = {"span": pd.Series, "text": pd.Series, "return": pd.Series}
     return F.pandas_udf(share, T.DoubleType())
@@ -273,19 +297,20 @@ def check_candidates(candidates: DataFrame, threshold: float = 0.85) -> DataFram
     for those whose lower case differs from what is contained; the others go past as nulls.
     """
     rows = candidates.withColumns({"errors": hygiene_errors(F.col("question"), F.col("answer")), "at": F.expr("locate(evidence_span, text)")})
-    blank = tx.norm(F.col("evidence_span")) == ""
     # A span that stands in the text does so in lower case, unless it ends with a letter whose lower case depends on the next one.
-    whole = F.when((F.col("at") > 0) & ~F.col("evidence_span").contains("Σ"), True).otherwise(tx.norm(F.col("text")).contains(tx.norm(F.col("evidence_span"))))
-    rows = rows.withColumn("ratio", F.when(F.size("errors") > 0, F.lit(None).cast("double")).when(blank, 0.0).when(whole, 1.0).otherwise(-1.0))
+    verbatim = F.coalesce((F.col("at") > 0) & ~F.col("evidence_span").contains("Σ"), F.lit(False))
+    clean = F.size("errors") == 0
+    rows = rows.withColumns({"__span": F.when(clean, tx.norm(F.col("evidence_span"))), "__text": F.when(clean & ~verbatim, tx.norm(F.col("text")))})
+    rows = rows.withColumn("ratio", F.when(~clean, F.lit(None).cast("double")).when(F.col("__span") == "", 0.0).when(verbatim | F.col("__text").contains(F.col("__span")), 1.0).otherwise(-1.0))
     asked = F.col("ratio") == -1
-    share = matched_share(F.when(asked, tx.norm(F.col("evidence_span"))), F.when(asked, tx.norm(F.col("text"))))
+    share = matched_share(F.when(asked, F.col("__span")), F.when(asked, F.col("__text")))
     rows = rows.withColumn("ratio", F.when(asked, share).otherwise(F.col("ratio")))
     found = (F.col("at") > 0) | (F.length("evidence_span") == 0)
     extra = F.array_compact(F.array(F.when(F.col("ratio") < threshold, F.concat(F.lit("grounding "), F.format_string("%.2f", "ratio"))), F.when(~found, "evidence offset")))
     out = rows.withColumn("errors", F.concat("errors", extra))
     out = out.withColumn("drop", F.when(F.size("errors") > 0, F.concat(F.lit("drop_"), F.split(F.get("errors", F.lit(0)), " ")[0])))
     start = F.when(F.col("drop").isNull(), F.col("source_start") + F.col("at") - 1)
-    return out.withColumns({"evidence_start": start, "evidence_end": start + F.length("evidence_span")}).drop("at", "ratio")
+    return out.withColumns({"evidence_start": start, "evidence_end": start + F.length("evidence_span")}).drop("at", "ratio", "__span", "__text")
 
 
 def verified(candidates: DataFrame, verdict: Column) -> DataFrame:

@@ -6,7 +6,9 @@ import json
 import random
 import re
 import threading
+import time
 
+import pandas as pd
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
@@ -161,6 +163,19 @@ def test_grounding_and_checks(spark):
     assert (out["ok"].evidence_start, out["ok"].evidence_end) == (110, 119) and out["pad"].evidence_start == 115
 
 
+def test_matched_blocks_are_those_of_difflib_and_quickly_found(spark):
+    random.seed(8)
+    rows = [("".join(random.choices("abé ", k=random.randint(1, 40))), "".join(random.choices("abé ", k=random.randint(0, 60)))) for _ in range(400)]
+    rows += [("x" * 30 + "y", "x" * 200), ("ab" * 20, "ba" * 40 + "ab" * 9)]
+    got = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "k int, s string, t string").select("k", generation.matched_share(F.col("s"), F.col("t")).alias("x")).orderBy("k").collect()
+    for (s, t), g in zip(rows, got):
+        assert g.x == pytest.approx(sum(b.size for b in difflib.SequenceMatcher(None, s, t, autojunk=False).get_matching_blocks()) / len(s))
+    text = "".join(random.choices("abcdefgh ", k=400_000))
+    began = time.process_time()
+    assert generation.matched_share.func(pd.Series([text[200_000:200_900] + "zz"] * 10), pd.Series([text] * 10)).between(0.99, 0.999).all()
+    assert time.process_time() - began < 20  # some 150 s with a step for each letter
+
+
 def test_structured_replies(spark):
     item = {"question": "q", "answer": "a", "evidence_span": "s", "qtype": "factoid", "difficulty": "easy"}
     for reply in (json.dumps({"items": [item]}), json.dumps([item]), f"```json\n{json.dumps([item])}\n```", f"Here: {json.dumps([item])} done"):
