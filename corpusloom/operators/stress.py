@@ -43,7 +43,8 @@ def entity(records: DataFrame) -> DataFrame:
     found = F.regexp_extract_all("answer", F.lit(_ENTITY), F.lit(0))
     gaps = F.split("answer", _ENTITY)  # what stands between the words
     rows = records.withColumns({"__words": found, "__gaps": gaps})
-    fits = F.transform("__words", lambda w: ~F.lower(w).isin(_NOT_ENTITIES) & F.col("context").contains(w))
+    held = F.array(F.col("context"))  # bound to a variable, lest what makes the context is worked out for each word
+    fits = F.transform(held, lambda c: F.transform("__words", lambda w: ~F.lower(w).isin(_NOT_ENTITIES) & c.contains(w)))[0]
     rows = rows.withColumn("__k", F.array_position(fits, F.lit(True)).cast("int")).where("__k > 0").withColumn("__w", F.element_at("__words", F.col("__k")))
     rows = rows.withColumn("__nonce", F.concat(F.lit(f"{MARK}-ENTITY-"), F.left(F.sha2("__w", 256), F.lit(8))))
     before = F.expr("aggregate(sequence(1, __k), '', (s, i) -> concat(s, IF(i > 1, __words[i - 2], ''), __gaps[i - 1]))")

@@ -297,6 +297,12 @@ def test_stress(spark):
         assert stress.distractor(table, first=few).count() == stress.distractor(table).count()
 
 
+def test_entities_work_out_a_context_once(spark):
+    rows = spark.createDataFrame([(1, "i", "q", "Zu den Orten", "Zu den Orten gehen", 1, "s")], "ord long, id string, question string, answer string, context string, doc_id long, evidence_span string")
+    plan = stress.entity(rows.withColumn("context", F.regexp_replace("context", "gehen", "fahren")))._jdf.queryExecution().optimizedPlan().toString()
+    assert all("transform(array(regexp_replace(" in x for x in plan.splitlines() if "array_position" in x and "fahren" in x)  # it stood in the lambda over words
+
+
 def test_judging(spark):
     def valid(*v):
         return spark.createDataFrame([(v,)], f"v struct<{validation.JUDGE_SCHEMA.replace(' ', ':').replace(',:', ',')}>").select(validation.judge_valid(F.col("v")).alias("x")).first().x
