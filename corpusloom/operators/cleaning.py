@@ -21,6 +21,8 @@ DROPPED_SECTIONS = (
 )
 DROPPED_HEADINGS = ["access", "check for updates", "contents", "download pdf", "metrics & more", "read online", "scientific reports"]
 JUNK = ["article recommendations", "check for updates", "download pdf", "metrics & more", "read online"]
+#: Each of the junk labels has one of these words, and normalising joins no letters.
+_JUNK_WORD = "recommendations|updates|download|metrics|online"
 
 _YEAR_FIRST = r"(?U)(?:19|20)\d\d\s*,\s*\d{1,4}\s*,\s*\d+"
 _YEAR_LAST = r"(?U)\b\d{1,4}\s*,\s*\d[\d-]*\s*\((?:19|20)\d\d\)"
@@ -49,11 +51,12 @@ def normalise_heading(c: Column) -> Column:
 
 
 def citation_hits(c: Column) -> Column:
-    return F.regexp_count(c, F.lit(_YEAR_FIRST)) + F.regexp_count(c, F.lit(_YEAR_LAST))
+    # Both need a digit before a comma, which few paragraphs have and which is quickly looked up.
+    return F.when(~c.rlike(r"(?U)\d\s*,"), 0).otherwise(F.regexp_count(c, F.lit(_YEAR_FIRST)) + F.regexp_count(c, F.lit(_YEAR_LAST)))
 
 
-def is_reference_block(c: Column) -> Column:
-    hits, marks = citation_hits(c), F.regexp_count(c, F.lit(r"\[\d+\]"))
+def is_reference_block(c: Column, hits: Column | None = None) -> Column:
+    hits, marks = citation_hits(c) if hits is None else hits, F.regexp_count(c, F.lit(r"\[\d+\]"))
     return (hits >= 3) | ((hits >= 2) & (marks >= 1)) | (c.rlike(r"^\s*\[\d+\]") & (marks >= 2) & (hits >= 1))
 
 
@@ -65,15 +68,15 @@ def heading_action(block: Column, norm: Column, title: Column, stop_headings: li
     )
 
 
-def paragraph_action(block: Column) -> Column:
-    """The first rule that a paragraph meets."""
-    s, one = tx.strip(block), ~block.contains("\n")
+def paragraph_action(block: Column, s: Column, hits: Column) -> Column:
+    """The first rule that a paragraph meets. s: the block without white space at its ends; hits: its citations. Columns of rows, lest they are worked out for each rule."""
+    one = ~block.contains("\n")
     return (
-        F.when(is_reference_block(s), "ref_blob").when(s.rlike(r"(?iU)^keywords?\s*[:：]"), "keywords")
+        F.when(is_reference_block(s, hits), "ref_blob").when(s.rlike(r"(?iU)^keywords?\s*[:：]"), "keywords")
         .when((F.length(s) < 300) & s.rlike(r"(?iU)^(?:accepted|first published|manuscript received|published(?: online)?|received|revised|submitted)\b"), "received")
         .when((F.length(s) < 200) & (s.rlike(r"(?i)doi\.org") | s.rlike("^https?://")), "doi_url").when((F.length(s) < 400) & s.rlike(_COPYRIGHT), "copyright")
         .when((F.length(s) < 300) & s.rlike(r"(?iU)downloaded (?:by|from|via)|ip address \d"), "watermark").when(one & s.rlike(r"(?iUd)^(?:\d{1,4}|page \d+ of \d+|\(\d+ of \d+\))$"), "page_artifact")
-        .when(one & normalise_heading(s).isin(JUNK), "junk_label").when(one & (F.length(s) < 150) & (citation_hits(s) >= 1), "footer_cite").otherwise("keep")
+        .when(one & F.lower(s).rlike(_JUNK_WORD) & normalise_heading(s).isin(JUNK), "junk_label").when(one & (F.length(s) < 150) & (hits >= 1), "footer_cite").otherwise("keep")
     )
 
 
@@ -94,7 +97,9 @@ def classify_blocks(docs: DataFrame, stop_headings: list[str] = []) -> DataFrame
     lines = F.split("block", "\n")
     state = state.withColumn("rest", F.filter(lines, lambda x: ~x.rlike(image))).withColumn("text", F.concat_ws("\n", "rest"))
     dropped = F.col("section") == "drop_section"
-    paragraph = F.when(dropped & tx.strip(F.col("block")).rlike(r"(?iU)^(?:conspectus|abstract)\s*[:：]"), "abstract_rescued").when(dropped, "paragraph_dropped_with_section").when(F.col("block").isNull(), "keep").when(F.size("rest") == 0, "image").otherwise(paragraph_action(F.col("text")))
+    judged = ~F.col("is_heading") & ~dropped & (F.size("rest") > 0)
+    state = state.withColumn("bare", F.when(judged, tx.strip(F.col("text")))).withColumn("hits", F.when(judged, citation_hits(F.col("bare"))))
+    paragraph = F.when(dropped & tx.strip(F.col("block")).rlike(r"(?iU)^(?:conspectus|abstract)\s*[:：]"), "abstract_rescued").when(dropped, "paragraph_dropped_with_section").when(F.col("block").isNull(), "keep").when(F.size("rest") == 0, "image").otherwise(paragraph_action(F.col("text"), F.col("bare"), F.col("hits")))
     names = F.when(F.col("heading_action") == "terminal", "terminal_cut").when(F.col("heading_action") == "drop_section", "section_dropped").otherwise(F.col("heading_action"))
     state = state.withColumn("action", F.when(F.col("is_heading"), names).otherwise(paragraph))
     kept = F.when(F.col("block").isNull(), F.lit(None)).when((F.col("action") == "keep") & F.col("is_heading"), F.col("block")).when(F.col("action") == "keep", F.col("text")).when(F.col("action") == "abstract_rescued", F.col("block"))

@@ -62,6 +62,14 @@ def test_cleaning_rules(spark):
         assert clean(spark, gone) == "\n", gone
 
 
+def test_paragraph_rules_work_out_a_block_once(spark):
+    docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    plan = cleaning.clean_documents(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("^\\s+|\\s+\\z") < 12  # it stood there for every rule
+    assert one(spark, cleaning.citation_hits(F.col("t")), t="A 2009 , 1, 2; 12 ,3-4 (2010)") == 2 and one(spark, cleaning.citation_hits(F.col("t")), t="no 2009 here, none") == 0
+    assert all(any(w in label for w in cleaning._JUNK_WORD.split("|")) for label in cleaning.JUNK)
+
+
 def test_cleaning_counts(spark):
     docs = spark.createDataFrame([(1, "# T\n\n![a](b)\n\n17\n\n## Notes\n\nx\n\n## References\n\n18"), (2, None)], "doc_id long, text string")
     assert {r.action: r.n for r in cleaning.rule_counts(docs).collect()} == {"image": 1, "image_lines": 1, "page_artifact": 1, "section_dropped": 1, "paragraph_dropped_with_section": 1, "terminal_cut": 1}
