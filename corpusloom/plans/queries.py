@@ -458,17 +458,27 @@ def csv_table(spark, d):
     return files.read_csv(spark, path, "event_id long, event_type string, value double")
 
 
+def _numbered(spark, d):
+    """Documents as files: the stem is the id and a number, since rows may share an id or have none."""
+    stem = F.concat_ws("-", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.monotonically_increasing_id())
+    return _read(spark, d, "documents").select("doc_id", stem.alias("stem"), F.coalesce("text", F.lit("")).alias("text"))
+
+
+def _unnumbered(stem):
+    return F.nullif(F.regexp_replace(stem, r"-\d+$", ""), F.lit("null"))
+
+
 def markdown_folder(spark, d):
     folder = _scratch(spark, "markdown").removeprefix("file:")
-    docs = _read(spark, d, "documents").select(F.col("doc_id").cast("string").alias("stem"), F.coalesce("text", F.lit("")).alias("text"))
+    docs = _numbered(spark, d)
     files.write_markdown(docs.where("doc_id % 2 = 0"), folder)
-    files.write_markdown(docs.where("doc_id % 2 = 1"), folder, "")
-    return files.read_markdown(spark, folder, cleaned_only=True).select(files.doc_id(F.col("stem")).alias("doc_id"), "text")
+    files.write_markdown(docs.where("doc_id % 2 <> 0"), folder, "")
+    return files.read_markdown(spark, folder, cleaned_only=True).select(_unnumbered(files.doc_id(F.col("stem"))).alias("doc_id"), "text")
 
 
 def failed_files(spark, d):
     folder = _scratch(spark, "parsed").removeprefix("file:")
-    files.write_markdown(_read(spark, d, "documents").select(F.col("doc_id").cast("string").alias("stem"), F.coalesce("text", F.lit("")).alias("text")), folder, "")
+    files.write_markdown(_numbered(spark, d), folder, "")
 
     def parse(path, content):
         if len(content) % 5 == 0:
@@ -476,7 +486,7 @@ def failed_files(spark, d):
         return content.decode()
 
     bad = files.failed(files.parse_files(spark, folder, _by_value(parse), "*.md"))
-    return bad.select(F.regexp_extract("path", r"(\d+)\.md$", 1).alias("doc_id"), "error")
+    return bad.select(_unnumbered(F.regexp_extract("path", r"([^/]*)\.md$", 1)).alias("doc_id"), "error")
 
 
 def split_ids(spark, d):

@@ -8,6 +8,7 @@ import re
 import threading
 import time
 
+import duckdb
 import pandas as pd
 import pytest
 from pyspark.sql import Row
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as tx
 from corpusloom.operators import cleaning, dedup, evidence, generation, manifest, retrieval, splits, stress, validation
-from corpusloom.plans import commands
+from corpusloom.plans import commands, queries
 from corpusloom.sources import files
 from corpusloom.streaming import ingest
 
@@ -495,3 +496,15 @@ def test_sources(spark, tmp_path):
     shard = tmp_path / "s.jsonl"
     shard.write_text('{"a": 1}\n\n{bad\n{"a": NaN}\n{"a": {"b": "中"}}\n{"a": "fine"}\n')
     assert sorted(r.line for r in files.merge_shards(spark, [str(shard)]).collect()) == ['{"a": "fine"}', '{"a": 1}']
+
+
+def test_files_of_odd_documents(spark, tmp_path):
+    docs = [(5, ""), (7, None), (-9, "abcde"), (None, "fghij"), (3, "kl"), (3, "vwxyz"), (3, "vwxyz"), (4, ""), (-6, "m\r\nn"), (8, None), (8, "o")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    for name in ("failed_files", "markdown_folder"):
+        got = queries.QUERIES[name](spark, str(tmp_path))
+        duck = duckdb.connect()
+        duck.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+        want = duck.sql(queries.ORACLES[name]).fetchall()
+        assert sorted(map(str, map(tuple, got.select("doc_id", got.columns[1]).collect()))) == sorted(map(str, want))
+    assert files.read_markdown(spark, str(tmp_path / "documents.parquet"), cleaned_only=True).count() == 0
