@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from .dedup import checkpoint
 
 
 def last_of_each(units: DataFrame, order: str) -> DataFrame:
@@ -20,25 +21,39 @@ def index_stats(units: DataFrame) -> DataFrame:
     return size.join(t.select(F.explode("t").alias("term")).agg(F.countDistinct("term").alias("terms")))
 
 
-#: Query terms up to this number are broadcast.
+#: Query terms, and queries, up to this number are broadcast.
 _FEW_TERMS = 1_000_000
 
 
-def scores(units: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """query_id, unit_id, score of units that share a term with a query. Only postings of the queries' terms are made; scores are rounded to 9 places, so that ties are ties."""
+def prepare(units: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What scores of any b start from: terms of queries, their postings in units, and their document frequencies, which are worked out at once."""
     q = queries.select("query_id", F.explode(F.array_distinct(tx.tokens(F.coalesce("text", F.lit(""))))).alias("term"))
-    # The empty term stands for each unit as a whole, so one pass over the texts gives postings and their statistics.
+    # The empty term stands for each unit as a whole, so one pass over the texts gives postings' statistics.
     terms = q.select("term").unionByName(q.sparkSession.range(1).select(F.lit("").alias("term"))).distinct()
-    few = terms.limit(_FEW_TERMS + 1).count() <= _FEW_TERMS
     tokenized = units.select("unit_id", tx.tokens(F.coalesce("text", F.lit(""))).alias("t"))
     spread = tokenized.select("unit_id", F.size("t").alias("len"), F.explode(F.concat(F.array(F.lit("")), "t")).alias("term"))
-    postings = spread.join(F.broadcast(terms) if few else terms, "term", "left_semi").groupBy("unit_id", "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
-    df = postings.groupBy("term").agg(F.count("*").alias("df"), F.avg("len").alias("mean"))
+    postings = spread.join(_broadcast(terms, _few(terms)), "term", "left_semi").groupBy("unit_id", "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
+    return q, postings, checkpoint(postings.groupBy("term").agg(F.count("*").alias("df"), F.avg("len").alias("mean")))
+
+
+def scores(units: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75, prepared: tuple[DataFrame, DataFrame, DataFrame] | None = None) -> DataFrame:
+    """query_id, unit_id, score of units that share a term with a query. Only postings of the queries' terms are made; scores are rounded to 9 places, so that ties are ties."""
+    q, postings, df = prepared or prepare(units, queries)
     stats = df.where("term = ''").select(F.col("df").alias("n"), "mean")
-    joined = q.join(df.select("term", "df"), "term").join(postings, "term").join(F.broadcast(stats))  # one row
     idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.greatest("mean", F.lit(1.0))))
-    return joined.groupBy("query_id", "unit_id").agg(F.round(F.sum(part), 9).alias("score"))
+    asked = q.join(df.select("term", "df"), "term").groupBy("term", "df").agg(F.collect_list("query_id").alias("queries"))
+    # A unit's postings stand in one partition from here on, so queries' scores are summed where they are and aren't shuffled.
+    joined = postings.repartition("unit_id").join(_broadcast(asked, _few(q)), "term").join(F.broadcast(stats))  # one row
+    return joined.select("unit_id", part.alias("part"), F.explode("queries").alias("query_id")).groupBy("query_id", "unit_id").agg(F.round(F.sum("part"), 9).alias("score"))
+
+
+def _few(df: DataFrame) -> bool:
+    return df.limit(_FEW_TERMS + 1).count() <= _FEW_TERMS
+
+
+def _broadcast(df: DataFrame, yes: bool) -> DataFrame:
+    return F.broadcast(df) if yes else df
 
 
 def top_k(units: DataFrame, queries: DataFrame, k: int = 5, **options) -> DataFrame:
@@ -62,8 +77,11 @@ def ranks(units: DataFrame, queries: DataFrame, **options) -> DataFrame:
     s = scores(units, queries, **options)
     truth = queries.select("query_id", F.col("unit_id").alias("truth"))
     place = _places(units, truth)
-    own = truth.join(s.withColumnRenamed("unit_id", "truth"), ["query_id", "truth"], "left").withColumn("own", F.coalesce("score", F.lit(0.0))).select("query_id", "truth", "own")
-    beside = s.join(own, "query_id").groupBy("query_id").agg(
+    few = _few(truth)
+    # Scores stay where they are: the truths come to them, and a count for each query leaves them.
+    met = s.withColumnRenamed("unit_id", "truth").join(_broadcast(truth.distinct(), few), ["query_id", "truth"])
+    own = truth.join(met, ["query_id", "truth"], "left").withColumn("own", F.coalesce("score", F.lit(0.0))).select("query_id", "truth", "own")
+    beside = s.join(_broadcast(own, few), "query_id").groupBy("query_id").agg(
         F.count_if((F.col("score") > F.col("own")) | ((F.col("score") == F.col("own")) & (F.col("unit_id") < F.col("truth")))).alias("above"),
         F.count_if((F.col("score") > 0) & (F.col("unit_id") < F.col("truth"))).alias("scored_before"),
     )

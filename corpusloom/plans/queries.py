@@ -56,7 +56,8 @@ def ir_metrics(spark, d):
 
 def rrf_hybrid(spark, d):
     u, q = _units(spark, d), _benchmark(spark, d)
-    both = [retrieval.top_k(u, q, 10), retrieval.top_k(u, q, 10, b=0.0)]
+    prepared = retrieval.prepare(u, q)
+    both = [retrieval.top_k(u, q, 10, prepared=prepared), retrieval.top_k(u, q, 10, b=0.0, prepared=prepared)]
     return retrieval.fuse([r.select("query_id", "unit_id", "rank") for r in both]).select("query_id", "unit_id", F.round("score", 9).alias("score"))
 
 
