@@ -508,3 +508,19 @@ def test_files_of_odd_documents(spark, tmp_path):
         want = duck.sql(queries.ORACLES[name]).fetchall()
         assert sorted(map(str, map(tuple, got.select("doc_id", got.columns[1]).collect()))) == sorted(map(str, want))
     assert files.read_markdown(spark, str(tmp_path / "documents.parquet"), cleaned_only=True).count() == 0
+
+
+def test_scores_are_summed_where_their_units_are(spark):
+    units = spark.createDataFrame([(1, "a b b"), (2, "b c"), (2, "c d"), (3, None)], "unit_id long, text string")
+    asked = spark.createDataFrame([(7, "b c"), (8, "b"), (8, "d")], "query_id long, text string")
+    s = retrieval.scores(units, asked)
+    assert "hashpartitioning(query_id" not in s._jdf.queryExecution().executedPlan().toString()  # else a row for each unit and query is shuffled
+    assert {(r.query_id, r.unit_id) for r in s.collect()} == {(7, 1), (7, 2), (8, 1), (8, 2)}
+
+
+def test_equal_questions_of_two_splits_need_no_search(spark, monkeypatch):
+    rows = [(1, "a", "what is it now?", "train"), (2, "b", "What is it, now", "test"), (3, "c", "nothing of that kind", "dev")]
+    table = spark.createDataFrame(rows, "ord long, doc_id string, question string, split string")
+    assert 0 < splits.leakage(table.where("ord <> 2").unionByName(table.where("ord = 2").withColumn("question", F.lit("what is it now then")))).first().max_question_jaccard < 1
+    monkeypatch.setattr(splits, "similar_sets", None)
+    assert splits.leakage(table).first().max_question_jaccard == 1.0
